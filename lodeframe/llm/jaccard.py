@@ -84,13 +84,17 @@ def _pass(k: int, bits: int, buckets: int):
 
         def flush():
             ids, ns, sigs, keys = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             u, place = np.unique(keys, return_inverse=True)
+            del keys
+            place = place.astype(np.uint32)
             batch = (part << 24) + seq
-            order = np.lexsort((place, np.repeat(np.arange(len(ns)), ns)))
+            order = np.lexsort((place, np.repeat(np.arange(len(ns), dtype=np.int32), ns)))
             rows = [(0, batch, -1, ids.astype("<i8").tobytes(), ns.astype("<i8").tobytes(), sigs.astype("<i8").tobytes(), pack(place[order]))]
             cut = ranges(u, bits, buckets)
             owner = np.repeat(np.arange(len(ns)), ns)
             texts_with = np.bincount(np.unique(owner * max(1, len(u)) + place) % max(1, len(u)), minlength=len(u))
+            del owner, place
             rows += [(1, batch, i, pack(u[cut[i] : cut[i + 1]]), pack(texts_with[cut[i] : cut[i + 1]]), None, None) for i in range(buckets) if cut[i + 1] > cut[i]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), STATE)], schema=STATE)
 
@@ -104,7 +108,6 @@ def _pass(k: int, bits: int, buckets: int):
                 size += len(r.data)
                 if size >= BATCH_BYTES:
                     yield flush()
-                    held.clear()
                     size, seq = 0, seq + 1
         if held:
             yield flush()

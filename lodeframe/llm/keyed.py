@@ -9,7 +9,7 @@ import numpy as np
 import zstandard
 
 U64 = np.uint64
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def pack(x: np.ndarray) -> bytes:

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are worked on in runs of at most so many bytes (one longer text makes a run of its own).
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
