@@ -7,7 +7,7 @@ Documents with equal shingle sets form a class; classes are what is joined.
    into groups (components of these links).
 3. The matrix of postings by group names, for each class, other groups that hold one of its prefix shingles. The group's
    token union bounds the overlap with any member: under ceil(t |s|) the group stays closed.
-4. Only qualifying groups are opened, and their members with a common posting verified exactly.
+4. Only qualifying groups are opened: the query meets their members, part by part, and one exact link joins it.
 5. Components of all links.
 Members of one group are never compared with each other, so a group of thousands of copies costs one comparison each.
 
@@ -33,6 +33,8 @@ SHINGLE, PERCENT = 4, 85
 #: The general parameters of near-duplicate stages.
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 SALTS = 64
+#: Members of an opened group that one task compares at a time.
+PART = 256
 #: Bits of the fixed-size filter that spares sets which surely take no part.
 FILTER_BITS = 23
 
@@ -207,6 +209,30 @@ def _verify(percent: int):
     return run
 
 
+def _opened(percent: int):
+    def run(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
+        """For each query, the first member of this part that it links with, if any: one link joins it to the group."""
+        sets = [np.frombuffer(x, U64) for x in members["s"].to_pylist()]
+        out = []
+        if len(queries) and sets:
+            ids, sizes = members["c"].to_numpy(), np.array([len(x) for x in sets])
+            flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, own = flat[order], own[order]
+            for q, s in zip(queries["c"].to_pylist(), queries["s"].to_pylist()):
+                x = np.frombuffer(s, U64)
+                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(own[at], minlength=len(sets))
+                hit = np.flatnonzero(100 * both >= percent * (sizes + len(x) - both))
+                if len(hit):
+                    out.append((int(ids[hit[0]]), q))
+        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    return run
+
+
 def _with_set(pairs: DataFrame, sets: DataFrame, key: str, other: str, out: str) -> DataFrame:
     """pairs with the set of column key; a key with very many pairs is spread over SALTS copies of its set."""
     p = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
@@ -261,26 +287,28 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     open_posts = stored(named.join(several, "key"))
     if open_posts.limit(1).count():
         rows = open_posts.join(members, "g")
-        groups_of = rows.groupBy(F.col("key"), F.col("g").alias("g2")).agg(F.first("members").alias("members2"), F.min("n").alias("low"), F.max("n").alias("high"))
+        room = F.col("n") - F.col("pos")  # what the two can still share, the posting included
+        groups_of = rows.groupBy(F.col("key"), F.col("g").alias("g2")).agg(F.first("members").alias("members2"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(room).alias("room2"))
         smaller = (F.col("members") < F.col("members2")) | ((F.col("members") == F.col("members2")) & (F.col("g") < F.col("g2")))
         sized = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
-        asked = stored(rows.join(groups_of, "key").filter(smaller & (F.col("g") != F.col("g2")) & sized).select("c", "n", "g2").distinct())
-        # the bound: tokens of the query in the group's union (of groups with one member, the verification is as cheap)
-        one = F.col("members") == 1
-        g2 = members.select(F.col("g").alias("g2"), one.alias("one"))
-        asked = asked.join(g2, "g2")
-        tokens = sets.mapInArrow(_exploded, "c long, token long")
-        large = asked.filter(~F.col("one")).select("c", "n", "g2")
-        union = tokens.join(named.select("c", "g").distinct(), "c").join(large.select(F.col("g2").alias("g")).distinct(), "g", "left_semi").select(F.col("g").alias("g2"), "token").distinct()
-        overlap = large.join(tokens, "c").join(union, ["g2", "token"]).groupBy("c", "n", "g2").agg(F.count(F.lit(1)).alias("o"))
-        qualify = overlap.filter(F.col("o") * 100 >= F.col("n") * percent).select("c", "g2").union(asked.filter("one").select("c", "g2"))
-        # 4. open: members with a common posting, whose sizes and places still allow the threshold
-        theirs = open_posts.select("key", F.col("c").alias("c2"), F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-        mine = open_posts.select("key", "c", "n", "pos").join(qualify, "c")
-        most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-        can = (most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
-        pairs = stored(mine.join(theirs, ["key", "g2"]).filter(can).select(F.col("c2").alias("a"), F.col("c").alias("b")).distinct())
-        links = links.union(verified(pairs, sets, percent))
+        can = F.least(room, F.col("room2")) * (100 + percent) >= (F.col("n") + F.col("low")) * percent
+        asked = rows.join(groups_of, "key").filter(smaller & (F.col("g") != F.col("g2")) & sized & can)
+        asked = stored(asked.select("c", "n", "g2", "members2").distinct())
+        pairs = asked.filter("members2 = 1").select(F.col("g2").alias("a"), F.col("c").alias("b"))
+        links = links.union(stored(verified(pairs, sets, percent)))
+        # the bound: a query's tokens in the group's union
+        large = asked.filter("members2 > 1")
+        if large.limit(1).count():
+            grouped = named.select("c", "g").distinct().join(large.select(F.col("g2").alias("g"), "members2").distinct(), "g")
+            tokens = sets.mapInArrow(_exploded, "c long, token long")
+            union = tokens.join(grouped, "c").select(F.col("g").alias("g2"), "token").distinct()
+            overlap = large.join(tokens, "c").join(union, ["g2", "token"]).groupBy("c", "n", "g2", "members2").agg(F.count(F.lit(1)).alias("o"))
+            qualify = overlap.filter(F.col("o") * 100 >= F.col("n") * percent).select("c", "g2", "members2")
+            # 4. open: the group's members in parts, each of which meets its queries once
+            parts = F.ceil(F.col("members2") / PART).cast("int")
+            theirs = grouped.withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).join(sets, "c").select("g", "part", "c", "s")
+            mine = qualify.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).join(sets, "c").select(F.col("g2").alias("g"), "part", "c", "s")
+            links = links.union(stored(theirs.groupBy("g", "part").cogroup(mine.groupBy("g", "part")).applyInArrow(_opened(percent), "a long, b long")))
     # 5. all components, and each class's least doc_id
     label = components(links)
     rows = state.filter("kind = 0").select("a", "b", "c").mapInArrow(_unrolled, "doc_id long, n long, c long")
