@@ -34,3 +34,16 @@ def ranges(sorted_keys: np.ndarray, bits: int, n: int) -> np.ndarray:
     """Places that cut sorted keys of so many bits into n ranges of equal width."""
     edges = np.array([(i << bits) // n for i in range(1, n)], dtype=object)
     return np.concatenate([[0], np.searchsorted(sorted_keys, edges.astype(U64)), [len(sorted_keys)]]).astype(np.int64)
+
+
+def pack_small(x: np.ndarray) -> bytes:
+    """Integers in no order, narrow if they are small."""
+    wide = 2 if x.max(initial=0) < 1 << 16 else 8
+    planes = x.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T
+    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack_small(b: bytes) -> np.ndarray:
+    wide = b[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(b[1:])), np.uint8)
+    return np.ascontiguousarray(raw.reshape(wide, -1).T).view(f"<u{wide}").ravel().astype(np.int64)
