@@ -30,8 +30,8 @@ from .suffixes import _state, starts
 from .textbatch import LOWER, Run, mix, per_text, runs
 
 DEPTH = 5
-P_MIN = 2e-5
-PENALTY = 4.0
+P_MIN = 4e-6
+PENALTY = 2.0
 SYMBOLS = 256
 BLANK, END = 0x20, 0x0A
 END_KEY = U64(1)
