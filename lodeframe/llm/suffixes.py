@@ -2,7 +2,9 @@
 
 Which suffixes: of each SPAN-byte string one K-byte substring is its anchor (the least by hash, the leftmost of equals), so
 equal strings have equal anchors. Round 1 counts anchors' texts (keyed.py); strings whose anchor stands in one text only
-cannot repeat and drop out. Round 2 takes the suffixes that are left. Each batch of texts gets its suffix array: its
+cannot repeat and drop out. Round 2 compares whole blocks (neighbouring strings with one anchor): a block that stands in a
+smaller doc_id is settled, and so is one whose anchor has no other block. Round 3 takes the suffixes of the first copy of
+each block that is left: the borders of repeats. Each batch of texts gets its suffix array: its
 suffixes in the order of the fingerprints of their first SPAN bytes (64 bits; equal strings are neighbours, which is what
 long matches need, and integers sort fast), with the least doc_id of each. Arrays are cut into ranges of the order, one
 task each, where a new array is merged into the family as equal-sized levels meet (sizes grow geometrically), and each
@@ -40,10 +42,10 @@ def blocks(run: Run, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarr
     none = np.zeros(0, np.int64)
     if n < span:
         return none, none, np.zeros(0, U64)
-    at = np.arange(n - k + 1)
-    h = run.hashes(at, at + k)
+    h = run.rolling(k)
     mask = U64((1 << int(n).bit_length()) - 1)
-    m = (h & ~mask) | at.astype(U64)
+    m = h & ~mask
+    m |= np.arange(n - k + 1, dtype=U64)
     width, size = span - k + 1, 1
     while size * 2 <= width:
         m = np.minimum(m[:-size], m[size:])
@@ -86,14 +88,59 @@ class Batch:
         pairs = np.unique(np.concatenate(own) * max(1, len(self.u)) + self.place) if len(self.u) else np.zeros(0, np.int64)
         return np.bincount(pairs % max(1, len(self.u)), minlength=len(self.u))
 
-    def suffixes(self, flagged: np.ndarray) -> Iterator[tuple[Run, np.ndarray, np.ndarray]]:
-        """Of each run: the starts of strings with a flagged anchor, and their fingerprints."""
-        at = 0
-        for r, (p1, p2, _) in zip(self.runs, self.blocks):
-            keep = flagged[self.place[at : at + len(p1)]]
+    def pairs(self, flagged: np.ndarray, ids: np.ndarray) -> "Pairs":
+        return Pairs(self, flagged, ids)
+
+
+class Pairs:
+    """The flagged blocks of a batch: distinct (anchor, whole block) pairs in order, and the least doc_id of each."""
+
+    def __init__(self, batch: Batch, flagged: np.ndarray, ids: np.ndarray):
+        self.runs = batch.runs
+        self.p1, self.p2, self.run, owner, fp = [], [], [], [], []
+        at = begin = 0
+        place = []
+        for i, (r, (p1, p2, _)) in enumerate(zip(batch.runs, batch.blocks)):
+            keep = flagged[batch.place[at : at + len(p1)]]
+            place.append(batch.place[at : at + len(p1)][keep])
             at += len(p1)
-            p = starts(p1[keep], p2[keep])
-            yield r, p, r.hashes(p, p + SPAN)
+            p1, p2 = p1[keep], p2[keep]
+            self.p1.append(p1)
+            self.p2.append(p2)
+            self.run.append(np.full(len(p1), i))
+            owner.append(ids[begin + np.searchsorted(r.offsets, p1, "right") - 1])
+            begin += r.n
+            fp.append(r.hashes(p1, p2 + SPAN) >> U64(24))
+        self.p1, self.p2, self.run, self.owner = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (self.p1, self.p2, self.run, owner))
+        place, fp = np.concatenate(place or [np.zeros(0, np.int64)]), np.concatenate(fp or [np.zeros(0, U64)])
+        order = np.lexsort((fp, place))
+        place, fp = place[order], fp[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (place[1:] != place[:-1]) | (fp[1:] != fp[:-1])
+        first = np.flatnonzero(new)
+        self.keys, self.fp = batch.u[place[first]], fp[first]
+        self.least = np.minimum.reduceat(self.owner[order], first) if len(first) else self.owner
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+
+    def settle(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks that stand whole in a smaller doc_id; first blocks whose anchor has others, too."""
+        smaller, several, begin = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool), 0
+        for r in sorted((r for r in answers if r["kind"] == 2), key=lambda r: r["bucket"]):
+            smaller[unpack(r["at"]).astype(np.int64) + begin] = True
+            several[unpack(r["n"]).astype(np.int64) + begin] = True
+            begin += r["size"]
+        whole = smaller[self.of] | (self.owner > self.least[self.of])
+        return whole, ~whole & several[self.of]
+
+    def strings(self, blocks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each run: starts of the strings in these blocks, their fingerprints and doc_ids."""
+        out = []
+        for i, r in enumerate(self.runs):
+            b = np.flatnonzero(blocks & (self.run == i))
+            p = starts(self.p1[b], self.p2[b])
+            out.append((p, r.hashes(p, p + SPAN), np.repeat(self.owner[b], self.p2[b] - self.p1[b] + 1)))
+        return out
 
 
 def _state(texts: list[Run], ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -145,8 +192,8 @@ def _pass(bits: int, buckets: int):
     return run
 
 
-def _flagged(b: Batch, answers: pa.Table) -> np.ndarray:
-    got = sorted((r for r in answers.to_pylist() if r["kind"] == 1), key=lambda r: r["bucket"])
+def _flagged(b: Batch, answers: list[dict]) -> np.ndarray:
+    got = sorted((r for r in answers if r["kind"] == 1), key=lambda r: r["bucket"])
     flagged, begin = np.zeros(len(b.u), bool), 0
     for r in got:
         flagged[unpack(r["at"]).astype(np.int64) + begin] = True
@@ -154,51 +201,80 @@ def _flagged(b: Batch, answers: pa.Table) -> np.ndarray:
     return flagged
 
 
-def _least(b: Batch, ids: np.ndarray, flagged: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """The batch's suffix array (fingerprints in order), the least doc_id of each, and each run's starts and places in it."""
-    parts = list(b.suffixes(flagged))
-    at, owners = 0, []
-    for r, p, _ in parts:
-        owners.append(ids[at + np.searchsorted(r.offsets, p, "right") - 1])
-        at += r.n
-    f = np.concatenate([x for _, _, x in parts] or [np.zeros(0, U64)])
-    owner = np.concatenate(owners or [np.zeros(0, np.int64)])
+def _array(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A suffix array: distinct fingerprints in order, the least doc_id of each, and each string's place in it."""
+    f, owner = np.concatenate([x for _, x, _ in parts]), np.concatenate([x for _, _, x in parts])
     order = np.argsort(f, kind="stable")
     fs = f[order]
-    first = np.flatnonzero(np.concatenate([[True], fs[1:] != fs[:-1]])) if len(fs) else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(owner[order], first) if len(fs) else owner
-    rank = np.zeros(len(fs), np.int64)
-    if len(first):
-        rank[first[1:]] = 1
+    new = np.ones(len(fs), bool)
+    new[1:] = fs[1:] != fs[:-1]
+    first = np.flatnonzero(new)
     place = np.empty(len(fs), np.int64)
-    place[order] = np.cumsum(rank)
-    cuts = np.cumsum([len(p) for _, p, _ in parts])[:-1]
-    return fs[first], least, list(zip([r for r, _, _ in parts], [p for _, p, _ in parts], np.split(place, cuts), np.split(owner, cuts)))
+    place[order] = np.cumsum(new) - 1
+    return fs[first], np.minimum.reduceat(owner[order], first) if len(first) else owner, place
 
 
 ANSWER_SQL = "kind int, batch long, bucket int, size long, at binary, n binary"
 
 
-def _arrays(bits: int, buckets: int):
-    """Requests of round 2: the batch's suffix array in ranges, with the least doc_id of each suffix."""
-    names = ["batch", "bucket", "a", "b", "c"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+def _asked(bits: int, buckets: int, step: int):
+    """Step 2: the batch's pairs of anchor and block, with the least doc_id; step 3: its suffix array, cut into ranges."""
+    names = ["batch", "bucket", "a", "b", "c", "d"]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(key: tuple, state: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
+        rows, got = [], answers.to_pylist()
         for s in state.to_pylist():
             b, ids = _batch(s, bits)
-            f, least, _ = _least(b, ids, _flagged(b, answers))
-            cut = ranges(f, 64, buckets)
+            pairs = b.pairs(_flagged(b, got), ids)
+            if step == 2:
+                keys, least, cut = pairs.keys, pairs.least, ranges(pairs.keys, bits, buckets)
+            else:
+                keys, least, _ = _array(pairs.strings(pairs.settle(got)[1]))
+                cut = ranges(keys, 64, buckets)
             for i in range(buckets):
+                at = slice(cut[i], cut[i + 1])
                 if cut[i + 1] > cut[i]:
-                    own, place = np.unique(least[cut[i] : cut[i + 1]], return_inverse=True)
-                    rows.append((s["batch"], i, pack(f[cut[i] : cut[i + 1]]), pack(own), pack_small(place)))
+                    own, place = np.unique(least[at], return_inverse=True)
+                    fp = np.ascontiguousarray(pairs.fp[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() if step == 2 else b""
+                    rows.append((s["batch"], i, pack(keys[at]), pack(own), pack_small(place), fp))
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return run
 
 
+def _compared(key: tuple, t: pa.Table) -> pa.Table:
+    """For each batch's pairs of a range: places with a smaller doc_id elsewhere, and places whose anchor has several blocks."""
+    keys = [unpack(x) for x in t["a"].to_pylist()]
+    ids = [unpack(x).view(np.int64)[unpack_small(y)] for x, y in zip(t["b"].to_pylist(), t["c"].to_pylist())]
+    wide = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in t["d"].to_pylist()]
+    k, i, w = np.concatenate(keys), np.concatenate(ids), np.concatenate(wide)
+    f = np.zeros((len(w), 8), np.uint8)
+    f[:, :5] = w
+    f = f.view("<u8").ravel()
+    order = np.lexsort((f, k))
+    k, f, own = k[order], f[order], i[order]
+    key_new, new = np.ones(len(k), bool), np.ones(len(k), bool)
+    key_new[1:] = k[1:] != k[:-1]
+    new[1:] = key_new[1:] | (f[1:] != f[:-1])
+    first = np.flatnonzero(new)
+    low = np.minimum.reduceat(own, first)[np.cumsum(new) - 1]
+    several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(key_new))[np.cumsum(key_new) - 1] > 1
+    smaller, many = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    smaller[order], many[order] = low < own, several
+    rows, at = [], 0
+    for batch, bucket, x in zip(t["batch"].to_pylist(), t["bucket"].to_pylist(), keys):
+        part = slice(at, at + len(x))
+        rows.append((2, batch, bucket, len(x), pack(np.flatnonzero(smaller[part])), pack(np.flatnonzero(many[part]))))
+        at += len(x)
+    return _answers(rows)
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], names=["kind", "batch", "bucket", "size", "at", "n"])
+
+
 class Family:
     """Levels of (fingerprints in order, least doc_id of each); two levels of like size merge into one."""
 
@@ -235,9 +311,8 @@ def _scanned(key: tuple, t: pa.Table) -> pa.Table:
     for batch, bucket, (f, ids) in zip(t["batch"].to_pylist(), t["bucket"].to_pylist(), arrays):
         low = family.least(f)
         at = np.flatnonzero(low < ids)
-        rows.append((2, batch, bucket, len(f), pack(at), pack(low[at])))
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], names=["kind", "batch", "bucket", "size", "at", "n"])
+        rows.append((3, batch, bucket, len(f), pack(at), pack(low[at])))
+    return _answers(rows)
 
 
 def _removed(bits: int):
@@ -245,20 +320,25 @@ def _removed(bits: int):
 
     def run(key: tuple, state: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in names]
+        got = answers.to_pylist()
         for s in state.to_pylist():
             b, ids = _batch(s, bits)
-            f, least, parts = _least(b, ids, _flagged(b, answers))
+            pairs = b.pairs(_flagged(b, got), ids)
+            whole, first = pairs.settle(got)
+            parts = pairs.strings(first)
+            f, least, place = _array(parts)
             begin = 0
-            for r in sorted((r for r in answers.to_pylist() if r["kind"] == 2), key=lambda r: r["bucket"]):
+            for r in sorted((r for r in got if r["kind"] == 3), key=lambda r: r["bucket"]):
                 at = unpack(r["at"]).astype(np.int64) + begin
                 least[at] = np.minimum(least[at], unpack(r["n"]).view(np.int64))
                 begin += r["size"]
-            at = 0
-            for r, p, place, owner in parts:
-                p = p[least[place] < owner]
-                edge = np.zeros(len(r.data) + 1, np.int64)
-                np.add.at(edge, p, 1)
-                np.add.at(edge, p + SPAN, -1)
+            at = done = 0
+            for i, (r, (p, _, owner)) in enumerate(zip(b.runs, parts)):
+                p = p[least[place[done : done + len(p)]] < owner]
+                done += len(owner)
+                all_ = np.flatnonzero(whole & (pairs.run == i))
+                edge = np.bincount(p, minlength=len(r.data) + 1) - np.bincount(p + SPAN, minlength=len(r.data) + 1)
+                edge += np.bincount(pairs.p1[all_], minlength=len(edge)) - np.bincount(pairs.p2[all_] + SPAN, minlength=len(edge))
                 gone = np.cumsum(edge)[:-1] > 0
                 begins = gone.copy()
                 begins[1:] &= ~gone[:-1]
@@ -289,11 +369,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     asked = state.filter("kind = 1").select("bucket", "batch", "a", "b")
     answers = asked.groupBy("bucket").applyInArrow(_frequencies_small, "batch long, bucket int, size long, at binary, n binary, keys binary")
     answers = stored(answers.select(F.lit(1).alias("kind"), "batch", "bucket", "size", "at", F.lit(None).cast("binary").alias("n")), plain=True)
-    arrays = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_arrays(bits, buckets), "batch long, bucket int, a binary, b binary, c binary")
-    found = stored(arrays.groupBy("bucket").applyInArrow(_scanned, ANSWER_SQL), plain=True)
-    both = answers.union(found)
-    own = texts.select((F.col("batch") + 0).alias("batch"), "a", "b", "c")
-    out = own.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(_removed(bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    sent = "batch long, bucket int, a binary, b binary, c binary, d binary"
+    own = lambda: texts.select((F.col("batch") + 0).alias("batch"), "a", "b", "c").groupBy("batch")
+    pairs = own().cogroup(answers.groupBy("batch")).applyInArrow(_asked(bits, buckets, 2), sent)
+    both = answers.union(stored(pairs.groupBy("bucket").applyInArrow(_compared, ANSWER_SQL), plain=True))
+    arrays = own().cogroup(both.groupBy("batch")).applyInArrow(_asked(bits, buckets, 3), sent)
+    every = both.union(stored(arrays.groupBy("bucket").applyInArrow(_scanned, ANSWER_SQL), plain=True))
+    out = own().cogroup(every.groupBy("batch")).applyInArrow(_removed(bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

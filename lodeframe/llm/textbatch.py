@@ -79,6 +79,19 @@ class Run:
         return mix((self._sums[ends] - self._sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+    def rolling(self, k: int) -> np.ndarray:
+        """Hashes of all byte ranges of length k, one at each start."""
+        n = len(self.data)
+        if self._sums is None:
+            self.hashes(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        h = self._sums[k:] - self._sums[: n - k + 1]
+        h *= _pow(n + 1)[1][: n - k + 1]
+        h ^= h >> U64(32)
+        h *= U64(0x94D049BB133111EB)
+        h ^= h >> U64(29)
+        return h
+
+
 def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i + 1]]."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
