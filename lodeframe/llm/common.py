@@ -54,18 +54,21 @@ def word_count(text: str) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[Column], bucket: Column, value: Column, out: str) -> DataFrame:
-    """df with the exclusive prefix sum `out` of value within group, in the order (bucket, *order).
+def prefix_sums(df: DataFrame, group: list[str], order: list[Column], bucket: Column, value: Column, out: str, facts: DataFrame | None = None) -> DataFrame:
+    """df with the exclusive prefix sum `out` of value within group, in the order (bucket, *order), and with the columns
+    of facts (one row a group), if given.
 
     bucket must not fall as the order rises. Groups are cut into buckets that are summed first; each bucket then starts
     from the sum of those before it, so that a hot group never meets in one task: a task holds one bucket of rows, or a
-    group's bucket totals. The group columns hold no null.
+    group's bucket totals. Facts travel with the bucket totals, so df is dealt out once. The group columns hold no null.
     """
     b, start = "__bucket", "__start"
     d = df.withColumn(b, bucket)
     totals = d.groupBy(*group, b).agg(F.sum(value).alias(start))
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn(start, F.coalesce(F.sum(start).over(before), F.lit(0)))
+    more = [] if facts is None else [c for c in facts.columns if c not in group]
+    totals = totals if facts is None else totals.join(facts, group)
     within = Window.partitionBy(*group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return d.join(totals, [*group, b]).select(*df.columns, (F.col(out) + F.col(start)).alias(out))
+    return d.join(totals, [*group, b]).select(*df.columns, *more, (F.col(out) + F.col(start)).alias(out))

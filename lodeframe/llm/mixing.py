@@ -62,18 +62,37 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return spark.createDataFrame([], "skey string, source_size long, target double") if not total and not parts else t.select("skey", "source_size", F.least(cap, F.col("weight") * F.lit(max(level, 0.0))).alias("target"))
 
 
-def take(sized: DataFrame, plan: DataFrame, order: str = "key") -> DataFrame:
-    """sized (skey, size, key and more) with source_size, target and taken."""
-    at = prefix_sums(sized, ["skey"], [F.col(order), *[F.col(c) for c in sized.columns if c not in ("skey", order)]], F.substring(order, 1, RANGE_DIGITS), F.col("size"), "before")
+def take(sized: DataFrame, plan: DataFrame, order: list[str]) -> DataFrame:
+    """sized (skey, size, key and more) with source_size, target, epochs (whole ones) and part (words of one more).
+
+    order: columns that follow the key, so that rows with one key have an order."""
+    at = prefix_sums(sized, ["skey"], [F.col(c) for c in ("key", *order)], F.substring("key", 1, RANGE_DIGITS), F.col("size"), "before", plan)
     budget = F.floor(F.col("target") + F.lit(1e-6)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    # the plan has one row a source: a hot source's rows are spread by key range, and meet it by a salted copy
-    salts = 64
-    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    at = at.withColumn("salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
-    return at.join(salted, ["skey", "salt"]).withColumn("taken", epochs * F.col("size") + part).drop("salt", "before")
+    return at.withColumn("epochs", epochs).withColumn("part", part)
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of docs: a document once for each whole epoch, and once more, cut after its last
+    word taken (words then joined by single blanks), for a part. A document of no words comes once if its source gives
+    any epoch or part at all."""
+    columns = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), source_key().alias("skey"), word_count("text").alias("size"), key().alias("key"), F.xxhash64("text").alias("hash"))
+    sized = stored(rows.select("skey", "size"))
+    t = take(rows, targets(sized), ["hash", "size"])
+    whole = F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.when(F.col("target") > 0, F.lit(1)).otherwise(F.lit(0)))
+    copies = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when((F.col("part") > 0) & (F.col("size") > 0), F.array("part")).otherwise(F.expr("array()").cast("array<bigint>")))
+    t = t.withColumn("words", F.explode(copies))
+    cut = F.array_join(F.slice(F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.lit(1), F.col("words").cast("int"))), " ")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("row.text"))
+    t = t.withColumn("text", text)
+    out = {c: F.col("row").getField(c) for c in columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        out["n_chars"] = F.when(F.col("words") < F.col("size"), F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return t.select(*[e.alias(c) for c, e in out.items()])
 
 
 def key(seed: str = SEED) -> Column:
@@ -83,8 +102,8 @@ def key(seed: str = SEED) -> Column:
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", source_key().alias("skey"), word_count("text").alias("size"), key().alias("key")))
-    out = take(sized, targets(sized))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    out = take(sized, targets(sized), ["doc_id", "size"])
+    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
 OP3_SQL = r"""
