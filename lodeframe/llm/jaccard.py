@@ -5,9 +5,10 @@ Documents with equal shingle sets form a class; classes are what is joined.
    among the first |s| - ceil(t |s|) + 1 of each; shingles of one document alone drop out. What is left are postings.
 2. Groups: each class is held against the least class that it shares a posting with; verified links join similar classes
    into groups (components of these links).
-3. The matrix of postings by group names, for each class, other groups that hold one of its prefix shingles. The group's
-   token union bounds the overlap with any member: under ceil(t |s|) the group stays closed.
-4. Only qualifying groups are opened: the query meets their members, part by part, and one exact link joins it.
+3. Lists of postings that hold several groups are cut into cells of at most PART x PART classes. In a cell the token-group
+   matrix holds each group's token union; its row sums bound a query's overlap with any member: under ceil(t |s|) the
+   group stays closed.
+4. Only qualifying groups are opened, their members' overlaps counted exactly, and one link for each group is given out.
 5. Components of all links.
 Members of one group are never compared with each other, so a group of thousands of copies costs one comparison each.
 
@@ -33,8 +34,8 @@ SHINGLE, PERCENT = 4, 85
 #: The general parameters of near-duplicate stages.
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 SALTS = 64
-#: Members of an opened group that one task compares at a time.
-PART = 256
+#: Members of a posting list on either side of a cell, and rows (about) that a task takes at a time.
+PART, CELL_ROWS = 512, 2000
 #: Bits of the fixed-size filter that spares sets which surely take no part.
 FILTER_BITS = 23
 
@@ -209,26 +210,51 @@ def _verify(percent: int):
     return run
 
 
+def _owners(tokens: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(tokens, kind="stable")
+    return tokens[order], own[order]
+
+
+def _overlaps(x: np.ndarray, flat: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """How many of x each of n owners has."""
+    lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+    m = hi - lo
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+    return np.bincount(own[at], minlength=n)
+
+
+def _cell(c: np.ndarray, g: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of queries (left) with members (right) of other groups: one for each query and group."""
+    size = np.array([len(x) for x in sets])
+    groups, of = np.unique(g, return_inverse=True)
+    flat, own = _owners(np.concatenate([sets[k] for k in right]), np.repeat(right, size[right]))
+    pairs = np.unique(np.stack([flat, of[own].astype(U64)]), axis=1) if len(groups) < len(right) else None
+    union, union_of = (pairs[0], pairs[1].astype(np.int64)) if pairs is not None else (flat, of[own])
+    for k in left:
+        x = sets[k]
+        bound = _overlaps(x, union, union_of, len(groups)) * 100 >= percent * len(x)
+        bound[of[k]] = False
+        if not bound.any():
+            continue
+        both = _overlaps(x, flat, own, len(sets))
+        hit = np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & bound[of])
+        for m in hit[np.unique(of[hit], return_index=True)[1]]:
+            yield int(c[m]), int(c[k])
+
+
 def _opened(percent: int):
-    def run(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
-        """For each query, the first member of this part that it links with, if any: one link joins it to the group."""
-        sets = [np.frombuffer(x, U64) for x in members["s"].to_pylist()]
-        out = []
-        if len(queries) and sets:
-            ids, sizes = members["c"].to_numpy(), np.array([len(x) for x in sets])
-            flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, own = flat[order], own[order]
-            for q, s in zip(queries["c"].to_pylist(), queries["s"].to_pylist()):
-                x = np.frombuffer(s, U64)
-                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                both = np.bincount(own[at], minlength=len(sets))
-                hit = np.flatnonzero(100 * both >= percent * (sizes + len(x) - both))
-                if len(hit):
-                    out.append((int(ids[hit[0]]), q))
-        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        c, g, part, i, j, keys = (t[x].to_numpy() for x in ("c", "g", "part", "i", "j", "key"))
+        sets = [np.frombuffer(x, U64) for x in t["s"].to_pylist()]
+        order = np.lexsort((j, i, keys))
+        new = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]) | np.concatenate([[True], (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)]))
+        out: set[tuple[int, int]] = set()
+        for at in np.split(order, new[1:]):
+            at_i, at_j = np.flatnonzero(part[at] == i[at[0]]), np.flatnonzero(part[at] == j[at[0]])
+            if len(at_i) and len(at_j):
+                out.update(_cell(c[at], g[at], [sets[k] for k in at], at_i, at_j, percent))
+        rows = sorted(out)
+        return pa.table([pa.array([x[k] for x in rows], pa.int64()) for k in range(2)], names=["a", "b"])
 
     return run
 
@@ -279,36 +305,19 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     sets = stored(sets.join(posts.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("s").alias("s")))
     links = stored(verified(star, sets, percent))
     groups = components(links)
-    # 3. the matrix: groups that share a prefix shingle; the smaller one's classes are the queries
+    # 3 and 4. cells of the lists that hold several groups
     named = stored(_labelled(posts.select("key", "c", "n", "pos"), groups))
-    members = named.select("c", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-    matrix = named.groupBy("key", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = matrix.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    open_posts = stored(named.join(several, "key"))
-    if open_posts.limit(1).count():
-        rows = open_posts.join(members, "g")
-        room = F.col("n") - F.col("pos")  # what the two can still share, the posting included
-        groups_of = rows.groupBy(F.col("key"), F.col("g").alias("g2")).agg(F.first("members").alias("members2"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(room).alias("room2"))
-        smaller = (F.col("members") < F.col("members2")) | ((F.col("members") == F.col("members2")) & (F.col("g") < F.col("g2")))
-        sized = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
-        can = F.least(room, F.col("room2")) * (100 + percent) >= (F.col("n") + F.col("low")) * percent
-        asked = rows.join(groups_of, "key").filter(smaller & (F.col("g") != F.col("g2")) & sized & can)
-        asked = stored(asked.select("c", "n", "g2", "members2").distinct())
-        pairs = asked.filter("members2 = 1").select(F.col("g2").alias("a"), F.col("c").alias("b"))
-        links = links.union(stored(verified(pairs, sets, percent)))
-        # the bound: a query's tokens in the group's union
-        large = asked.filter("members2 > 1")
-        if large.limit(1).count():
-            grouped = named.select("c", "g").distinct().join(large.select(F.col("g2").alias("g"), "members2").distinct(), "g")
-            tokens = sets.mapInArrow(_exploded, "c long, token long")
-            union = tokens.join(grouped, "c").select(F.col("g").alias("g2"), "token").distinct()
-            overlap = large.join(tokens, "c").join(union, ["g2", "token"]).groupBy("c", "n", "g2", "members2").agg(F.count(F.lit(1)).alias("o"))
-            qualify = overlap.filter(F.col("o") * 100 >= F.col("n") * percent).select("c", "g2", "members2")
-            # 4. open: the group's members in parts, each of which meets its queries once
-            parts = F.ceil(F.col("members2") / PART).cast("int")
-            theirs = grouped.withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).join(sets, "c").select("g", "part", "c", "s")
-            mine = qualify.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).join(sets, "c").select(F.col("g2").alias("g"), "part", "c", "s")
-            links = links.union(stored(theirs.groupBy("g", "part").cogroup(mine.groupBy("g", "part")).applyInArrow(_opened(percent), "a long, b long")))
+    lists = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("key", "m")
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    rows = named.select("key", "c", "g").join(lists, "key").withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    cells = rows.withColumn("other", other).select("key", "c", "g", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    cells = stored(cells)
+    n = cells.count()
+    if n:
+        bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(n // CELL_ROWS + 1)).cast("int")
+        filled = cells.join(sets, "c").withColumn("bucket", bucket)
+        links = links.union(stored(filled.groupBy("bucket").applyInArrow(_opened(percent), "a long, b long")))
     # 5. all components, and each class's least doc_id
     label = components(links)
     rows = state.filter("kind = 0").select("a", "b", "c").mapInArrow(_unrolled, "doc_id long, n long, c long")
@@ -320,13 +329,6 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     return out.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component_id", none).alias("component_id"))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(b.num_rows):
-            x = np.frombuffer(b["s"][i].as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), b["c"][i].as_py())), pa.array(x)], names=["c", "token"])
-
-
 def _unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():

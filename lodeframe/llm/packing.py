@@ -48,7 +48,7 @@ class Encoder:
     Unicode's white space beyond ASCII never counts as such.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 100_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:  # working arrays go back to the system when they are freed: Python workers live on between stages
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+except (OSError, AttributeError):  # another C library: only more memory is held
+    pass
+
 U64 = np.uint64
 #: Texts are worked on in runs of at most so many bytes (one longer text makes a run of its own).
 RUN_BYTES = 1 << 20
