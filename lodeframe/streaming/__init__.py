@@ -1,0 +1 @@
+"""Nothing here yet: all sources and queries of this engine are batch ones."""
