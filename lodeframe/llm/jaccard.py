@@ -5,7 +5,7 @@ Documents with equal shingle sets form a class; classes are what is joined.
    among the first |s| - ceil(t |s|) + 1 of each; shingles of one document alone drop out. What is left are postings.
 2. Groups: each class is held against the least class that it shares a posting with; verified links join similar classes
    into groups (components of these links).
-3. Lists of postings that hold several groups are cut into cells of at most PART x PART classes. In a cell the token-group
+3. Lists of postings that hold several groups, joined if they have one least class, are cut into cells of at most PART x PART classes. In a cell the token-group
    matrix holds each group's token union; its row sums bound a query's overlap with any member: under ceil(t |s|) the
    group stays closed.
 4. Only qualifying groups are opened, their members' overlaps counted exactly, and one link for each group is given out.
@@ -306,8 +306,11 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     links = stored(verified(star, sets, percent))
     groups = components(links)
     # 3 and 4. cells of the lists that hold several groups
-    named = stored(_labelled(posts.select("key", "c", "n", "pos"), groups))
-    lists = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("key", "m")
+    named = stored(_labelled(posts.select("key", "c", "least"), groups))
+    several = named.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("key")
+    # lists with one least class are much alike: together they are one list, whose pairs are compared once
+    named = named.join(several, "key").select(F.col("least").alias("key"), "c", "g").distinct()
+    lists = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     parts = F.ceil(F.col("m") / PART).cast("int")
     rows = named.select("key", "c", "g").join(lists, "key").withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1))

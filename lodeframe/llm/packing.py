@@ -14,11 +14,13 @@ Defined cases: null or empty text is the end id alone; repeated rows are packed
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ GROUPS = (12, 24, 48, 96, 1024)
 #: Lengths above this share of SIZE count as large.
 LARGE = 0.125
 NEWLINE = 10
+#: Special tokens' strings, which the tokenizer reads as one id, look like this.
+SPECIAL = re.compile(rb"<\|")
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -48,7 +53,8 @@ class Encoder:
     Unicode's white space beyond ASCII never counts as such.
     """
 
-    def __init__(self, path: str, keep: int = 100_000):
+    def __init__(self, path: str, keep: int = 1_000_000, ranks: str | None = None):
+        import base64
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,11 +62,20 @@ class Encoder:
 
         self.t, self.keep = Tokenizer.from_file(path), keep
         self.newline = self.t.encode("\n", add_special_tokens=False).ids
+        self.lines = lambda text: self.t.encode(text, add_special_tokens=False).ids
+        if ranks:  # the same vocabulary as ranks: the same ids for plain words, several times as fast
+            import public_tokenizers
+            import tiktoken
+
+            table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(ranks, "rb"))}
+            self.lines = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.start()
 
     def start(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.ids = [0], np.zeros(0, np.uint32)
+        """Known pieces: sorted hashes, and where their ids stand; those learnt last are in a level of their own."""
+        none = np.zeros(0, np.int64)
+        self.levels = [(np.zeros(0, np.uint64), none, none), (np.zeros(0, np.uint64), none, none)]
+        self.ids = np.zeros(0, np.uint32)
 
     def cuts(self, run: Run) -> np.ndarray:
         d, n = run.data, len(run.data)
@@ -81,50 +96,89 @@ class Encoder:
     def encode(self, run: Run) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and the number of each text's."""
         n = len(run.data)
-        starts = np.unique(np.concatenate([run.offsets[:-1], self.cuts(run)])).astype(np.int64)
-        starts = starts[starts < n]
-        if not len(starts):
+        if not n:
             return np.zeros(0, np.uint32), np.zeros(run.n, np.int64)
+        cut = np.zeros(n + 1, bool)
+        cut[run.offsets[:-1]] = cut[self.cuts(run)] = True
+        starts = np.flatnonzero(cut[:n])
         ends = np.append(starts[1:], n)
-        h, first, place = np.unique(run.hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > self.keep:
+        place, h = pd.factorize(run.hashes(starts, ends))
+        first = np.empty(len(h), np.int64)
+        first[place[::-1]] = np.arange(len(place))[::-1]
+        if sum(len(x) for x, _, _ in self.levels) > self.keep:
             self.start()
-        keys = h.tolist()
-        new = [j for j, x in enumerate(keys) if x not in self.known]
-        if new:
-            self.learn([(keys[j], run.data[starts[first[j]] : ends[first[j]]].tobytes().decode()) for j in new])
-        slot = np.array([self.known[x] for x in keys], np.int64)[place]
-        at = np.asarray(self.at, np.int64)
-        lens, begin = (at[1:] - at[:-1])[slot], at[slot]
+        begin, lens = self.find(h)
+        new = np.flatnonzero(lens < 0)
+        if len(new):
+            begin[new], lens[new] = self.learn(run, starts[first[new]], ends[first[new]], h[new])
+        lens, begin = lens[place], begin[place]
         total = np.concatenate([[0], np.cumsum(lens)])
         ids = self.ids[np.repeat(begin - total[:-1], lens) + np.arange(total[-1])]
         bounds = np.searchsorted(starts, run.offsets)
         return ids, total[bounds[1:]] - total[bounds[:-1]]
 
-    def learn(self, pieces: list[tuple[int, str]]) -> None:
-        simple = [x for x in pieces if not any(c.isspace() for c in x[1][1:]) and (x[1][0] == " " and len(x[1]) > 1 or not x[1][0].isspace())]
-        joined: list[np.ndarray] = []
-        if simple and len(self.newline) == 1:
-            flat = np.array(self.t.encode("\n".join(x[1] for x in simple), add_special_tokens=False).ids, np.uint32)
-            joined = np.split(flat, np.flatnonzero(flat == self.newline[0]))
-            joined = [joined[0], *[x[1:] for x in joined[1:]]]
-        if len(joined) != len(simple):
-            simple, joined = [], []
-        done = {x[0] for x in simple}
-        rest = [x for x in pieces if x[0] not in done]
-        joined += [np.array(e.ids, np.uint32) for e in self.t.encode_batch([x[1] for x in rest], add_special_tokens=False)]
-        base = len(self.at) - 1
-        for i, (key, _) in enumerate([*simple, *rest]):
-            self.known[key] = base + i
-        self.at += (self.at[-1] + np.cumsum([len(x) for x in joined])).tolist()
-        self.ids = np.concatenate([self.ids, *joined])
-
-
-def _pieces(path: str, size: int, end: int):
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, lens = np.zeros(len(h), np.int64), np.full(len(h), -1)
+        for keys, b, n in self.levels:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                begin[hit], lens[hit] = b[at[hit]], n[at[hit]]
+        return begin, lens
+
+    def learn(self, run: Run, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes new pieces: those of one word, at most a blank before it, as lines of one text; others one by one."""
+        d = run.data
+        odd = (d <= 0x20) | (d == 0x7F) | (d == 0xC2) | (d > 0xC5)  # plain: ASCII and accented Latin letters
+        for m in SPECIAL.finditer(d.tobytes()):
+            odd[m.start()] = True
+        seen = np.concatenate([[0], np.cumsum(odd)])
+        blank = (d[starts] == 0x20) & (ends - starts > 1)
+        simple = (seen[ends] - seen[starts] == blank) & (len(self.newline) == 1)
+        lens = np.full(len(starts), -1)
+        flat: list[np.ndarray] = []
+        rest = np.flatnonzero(~simple)
+        order = np.concatenate([np.flatnonzero(simple), rest])
+        a, b = starts[simple], ends[simple]
+        if len(a):
+            at = spread_out(a, b + 1)  # the byte after each piece makes room for a line's end
+            text = np.append(d, np.uint8(NEWLINE))[at]
+            text[np.cumsum(b - a + 1) - 1] = NEWLINE
+            ids = np.array(self.lines(text[:-1].tobytes().decode()), np.uint32)
+            lines = np.flatnonzero(np.append(ids, self.newline[0]) == self.newline[0])
+            if len(lines) == len(a):
+                lens[simple] = np.diff(lines, prepend=-1) - 1
+                flat.append(ids[ids != self.newline[0]])
+            else:
+                rest = order = np.arange(len(starts))
+        for e, i in zip(self.t.encode_batch([d[starts[i] : ends[i]].tobytes().decode() for i in rest.tolist()], add_special_tokens=False), rest.tolist()):
+            lens[i] = len(e.ids)
+            flat.append(np.array(e.ids, np.uint32))
+        begin = np.empty(len(starts), np.int64)
+        begin[order] = len(self.ids) + np.concatenate([[0], np.cumsum(lens[order])[:-1]])
+        self.ids = np.concatenate([self.ids, *flat])
+        self.levels[1] = _sorted(self.levels[1], (h, begin, lens))
+        if len(self.levels[1][0]) > 60_000:
+            self.levels = [_sorted(*self.levels), (h[:0], begin[:0], lens[:0])]
+        return begin, lens
+
+
+def spread_out(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n = ends - starts
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
+def _sorted(a: tuple, b: tuple) -> tuple:
+    both = [np.concatenate([x, y]) for x, y in zip(a, b)]
+    order = np.argsort(both[0], kind="stable")
+    return tuple(x[order] for x in both)
+
+
+def _pieces(path: str, size: int, end: int, ranks: str | None):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = Encoder(path, ranks=ranks)
         for b in batches:
             ids_of = b["doc_id"].to_pylist()
             for r in runs(b["text"]):
@@ -143,9 +197,12 @@ def _pieces(path: str, size: int, end: int):
     return run
 
 
-def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END_ID, ranks: str | None = None) -> DataFrame:
+    """Pieces of every row's ids. path: a tokenizer file; ranks: the same vocabulary as ranks, if there is one."""
+    if path is None:
+        path, ranks = tokenizer_path(), tokenizer_path(RANKS)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path or tokenizer_path(), size, end), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, size, end, ranks), schema)
 
 
 class Plan:
