@@ -8,7 +8,7 @@ Documents with equal shingle sets form a class; classes are what is joined.
 3. Lists of postings that hold several groups, joined if they have one least class, are cut into cells of at most PART x PART classes. In a cell the token-group
    matrix holds each group's token union; its row sums bound a query's overlap with any member: under ceil(t |s|) the
    group stays closed.
-4. Only qualifying groups are opened, their members' overlaps counted exactly, and one link for each group is given out.
+4. Only qualifying groups are opened, their members' overlaps counted exactly, and the links that join groups are given out (no more than there are groups).
 5. Components of all links.
 Members of one group are never compared with each other, so a group of thousands of copies costs one comparison each.
 
@@ -224,22 +224,24 @@ def _overlaps(x: np.ndarray, flat: np.ndarray, own: np.ndarray, n: int) -> np.nd
 
 
 def _cell(c: np.ndarray, g: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Links of queries (left) with members (right) of other groups: one for each query and group."""
+    """Links of queries (left) with members (right) of other groups: only those that join groups not yet joined here."""
     size = np.array([len(x) for x in sets])
     groups, of = np.unique(g, return_inverse=True)
     flat, own = _owners(np.concatenate([sets[k] for k in right]), np.repeat(right, size[right]))
     pairs = np.unique(np.stack([flat, of[own].astype(U64)]), axis=1) if len(groups) < len(right) else None
     union, union_of = (pairs[0], pairs[1].astype(np.int64)) if pairs is not None else (flat, of[own])
+    label = np.arange(len(groups))
     for k in left:
         x = sets[k]
         bound = _overlaps(x, union, union_of, len(groups)) * 100 >= percent * len(x)
-        bound[of[k]] = False
+        bound[label == label[of[k]]] = False
         if not bound.any():
             continue
         both = _overlaps(x, flat, own, len(sets))
         hit = np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & bound[of])
-        for m in hit[np.unique(of[hit], return_index=True)[1]]:
+        for m in hit[np.unique(label[of[hit]], return_index=True)[1]]:
             yield int(c[m]), int(c[k])
+            label[label == label[of[m]]] = label[of[k]]
 
 
 def _opened(percent: int):
