@@ -1,0 +1,304 @@
+"""Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, copies and odd columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, skey string, key string, row int, h double, rank int"
+
+
+def make():
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdeéß") for _ in range(r.randint(1, 6))) for _ in range(300)]
+    sentence = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    texts = [sentence(r.randint(1, 120)) for _ in range(60)]
+    passage = sentence(60)
+    texts += [f"{sentence(20)}\n{passage}\n{sentence(5)}" for _ in range(6)]
+    base = sentence(100).split(" ")
+    for _ in range(8):  # near copies
+        copy = list(base)
+        copy[r.randrange(100)] = "changed"
+        texts.append(" ".join(copy))
+    texts += [None, "", " \n\t ", texts[0], texts[0], texts[3].upper(), "one two", "one two", "x " * 60, sentence(20000), "A\u0085B　C\x1c D<|endoftext|> e", "same line\nsame line\nsame line\n"]
+    texts += [f'my Password = "{"Ab3" * 5}" and AKIA{"Z9" * 8} {"0af1" * 10}', "token: short secret: abcdefgh12", f"é password:{'k' * 8}"]
+    texts += [f"{sentence(10)} nasty nasty vile {sentence(4)}" for _ in range(12)]
+    rows = [(i, t, r.choice(["en", "fr", None]), r.choice(["s1", "s2", "s2", "", None]), None if t is None else len(t), "s", None, "k", 1, 0.5, 2) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, "no id here at all", None, None, 1, None, None, None, None, None, None)]
+    r.shuffle(rows)
+    return rows
+
+
+ROWS = make()
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame(ROWS, SCHEMA).repartition(5).write.parquet(f"{d}/documents.parquet")
+    toxic = [(x[0], int("nasty" in (x[1] or ""))) for x in ROWS if x[0] is not None] + [(None, 1), (7, None), (10**6, 1)]
+    spark.createDataFrame([(i, 1, t) for i, t in toxic], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    r = random.Random(1)
+    vectors = [(i, [r.uniform(-1, 1) for _ in range(8)], 0) for i in range(350)] + [(900 + i, [0.25] * 8, 0) for i in range(20)] + [(400, None, 1), (500, [], 1), (600, [float("nan")] * 8, 1), (None, [1.0] * 8, 1), (700, [None] * 8, 1), (1000, [0.25] * 8, 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+@pytest.fixture(scope="module")
+def nothing(spark, tmp_path_factory, sf):
+    d = str(tmp_path_factory.mktemp("empty"))
+    for t in ("documents", "labels", "embeddings"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
+    return d
+
+
+def queries():
+    from lodeframe.llm.registry import QUERIES
+
+    return QUERIES
+
+
+def run(spark, name, d):
+    return queries()[next(n for n in queries() if n.startswith(name + "_"))](spark, d).collect()
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_empty_tables(spark, nothing, n):
+    assert run(spark, f"op{n}", nothing) == []
+
+
+def bag(rows):
+    return collections.Counter(rows)
+
+
+def test_op1(spark, sf):
+    kinds = [("assign", re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
+    want, spans = [], {}
+    for x in ROWS:
+        found = [(m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(kinds) for m in p.finditer(x[1] or "") if len(m[g]) >= least]
+        text = ",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in sorted(found))
+        want.append((x[0], *[sum(f[1] == k for f in found) for k in range(3)], hashlib.sha256(text.encode()).hexdigest()))
+        spans[x[0]] = text
+    got = run(spark, "op1", sf)
+    assert bag(tuple(r)[:5] for r in got) == bag(want)
+    assert all(set(filter(None, spans[r.doc_id].split(","))) <= set(r.spans.split(",")) for r in got)
+
+
+def test_network_on_held_out_findings():
+    from lodeframe.llm import secrets as S
+
+    x, y = S.labelled(1000, 77)
+    z = S.network().logits(x) >= S.network().threshold
+    assert z[y == 1].mean() > 0.93 and z[y == 0].mean() < 0.02
+
+
+def test_op2(spark, sf):
+    want = []
+    for x in ROWS:
+        t = x[1] or ""
+        w = WORD.findall(t)
+        windows = list(zip(w, w[1:], w[2:]))
+        n = collections.Counter(windows)
+        again = {i + j for i, k in enumerate(windows) if n[k] > 1 for j in range(3)}
+        lines = [line for line in t.split("\n") if WORD.search(line)]
+        want.append((x[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)))
+    got = run(spark, "op2", sf)
+    assert bag(tuple(r)[:7] for r in got) == bag(want)
+    assert not any(r.kept and r.base_failed for r in got)
+
+
+def test_distance():
+    from lodeframe.llm.quality import distance
+
+    assert distance(np.array([[1.0, 0]]), np.array([0.0, 1]))[0] == pytest.approx(1)
+    p, q, m = (0.5, 0.5), (0.0, 1.0), (0.25, 0.75)
+    want = math.sqrt((sum(a * math.log2(a / c) for a, c in zip(p, m)) + math.log2(1 / 0.75)) / 2)
+    assert distance(np.array([p]), np.array(q))[0] == pytest.approx(want)
+    assert distance(np.array([[0.3, 0.7]]), np.array([0.3, 0.7]))[0] < 1e-6
+
+
+def test_op3(spark, sf):
+    got = run(spark, "op3", sf)
+    sizes = collections.defaultdict(int)
+    for x in ROWS:
+        sizes["1" if x[3] is None else "0" + x[3]] += len(WORD.findall(x[1] or ""))
+    total, weight = sum(sizes.values()), {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}
+    target, left, rest = {}, set(sizes), 1.5 * total
+    while True:  # reshare until none is above
+        over = {s for s in left if rest * weight[s] / sum(weight[q] for q in left) > 2 * sizes[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+        left -= over
+        rest = 1.5 * total - sum(target.values())
+    target |= {s: rest * weight[s] / sum(weight[q] for q in left) for s in left}
+    of = {x[0]: "1" if x[3] is None else "0" + x[3] for x in ROWS}
+    taken = collections.defaultdict(int)
+    for r in got:
+        assert r.size == len(WORD.findall(next(x[1] for x in ROWS if x[0] == r.doc_id) or "")) and r.source_size == sizes[of[r.doc_id]]
+        assert r.target == pytest.approx(target[of[r.doc_id]]) and 0 <= r.taken <= 2 * r.size
+        taken[of[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    assert bag(map(tuple, got)) == bag(map(tuple, run(spark, "op3", sf)))
+
+
+def test_op4(spark, sf):
+    tokens = [(x[0], [*WORD.findall((x[1] or "").translate(LOW)), "\n"]) for x in ROWS]
+    held = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 5 == 1
+    c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = collections.defaultdict(list)
+    for i, ws in tokens:
+        want[i].append((held(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)))
+    got = run(spark, "op4", sf)
+    assert len(got) == len(ROWS)
+    for r in got:
+        w = want[r.doc_id][0]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and r.base_score == pytest.approx(w[4]) and r.score < 0
+
+
+def test_tree_is_a_distribution():
+    from lodeframe.llm.suffixtree import DEPTH, SYMBOLS, Tree, counted
+
+    r = np.random.default_rng(1)
+    text = r.choice(np.frombuffer(b"abcab ", np.uint8), 4000).astype(np.uint64)
+    keys = sum(np.roll(text, j) << np.uint64(8 * j) for j in range(DEPTH + 1))
+    t = Tree({d: counted(keys & np.uint64((1 << 8 * (d + 1)) - 1)) for d in range(DEPTH + 1)})
+    for k in keys[:20]:
+        every = (k & ~np.uint64(255)) | np.arange(SYMBOLS, dtype=np.uint64)
+        assert (10 ** t.log10(every)).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_op5(spark, sf, k, percent):
+    from lodeframe.llm.jaccard import linked
+
+    sets = []
+    for x in ROWS:
+        w = WORD.findall((x[1] or "").translate(LOW))
+        sets.append(set(zip(*[w[i:] for i in range(k)])) if len(w) >= k else {tuple(w)} if w else set())
+    name = list(range(len(ROWS)))
+
+    def find(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for i in range(len(ROWS)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                name[find(i)] = find(j)
+    least = {}
+    for i, x in enumerate(ROWS):
+        if x[0] is not None:
+            least[find(i)] = min(least.get(find(i), x[0]), x[0])
+    want = [(x[0], len(sets[i]), least.get(find(i))) for i, x in enumerate(ROWS)]
+    got = linked(spark.read.parquet(f"{sf}/documents.parquet"), k, percent).collect()
+    assert bag(map(tuple, got)) == bag(want)
+
+
+def test_op6(spark, sf):
+    got = run(spark, "op6", sf)
+    text = {x[0]: x[1] or "" for x in ROWS}
+    for r in got:
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        h = lambda s: hashlib.md5(f"{key}/{s}".encode()).hexdigest()  # noqa: E731, B023
+        assert (r.size, r.text_crc32, r.law) == (len(text[r.doc_id].encode()) + 16, zlib.crc32(text[r.doc_id].encode()), "key")
+        assert r.shard == max(range(40), key=h) and r.grown_shard == max(range(41), key=h)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(got) == len(ROWS)
+
+
+def test_weighted_shards(spark):
+    from lodeframe.llm.sharding import pick
+
+    n = spark.range(4000).select(pick(F.col("id").cast("string"), [1.0, 3.0]).alias("s")).groupBy("s").count().collect()
+    assert 0.7 < {r.s: r["count"] for r in n}[1] / 4000 < 0.8
+
+
+def test_op7(spark, sf):
+    rows = sorted(ROWS, key=lambda x: (x[0] is None, x[0] or 0))
+    first: dict[bytes, object] = {}
+    want = []
+    for x in rows:
+        b = (x[1] or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            owner = first.setdefault(b[p : p + 50], x[0])
+            if owner != x[0]:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        want.append((x[0], len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    assert bag(map(tuple, run(spark, "op7", sf))) == bag(want)
+
+
+def test_op8(spark, sf):
+    vectors = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.vec_id is not None and r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding)]
+    want = []
+    for q, v in vectors:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q)[:10]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, run(spark, "op8", sf))) == sorted(want)
+
+
+def test_op9(spark, sf):
+    from lodeframe.llm import packing
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    want = []
+    for x in ROWS:
+        ids = [*t.encode(x[1] or "", add_special_tokens=False).ids, 2]
+        cut = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
+        want += [(x[0], p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cut, cut[1:]))]
+    got = run(spark, "op9", sf)
+    assert bag(tuple(r)[:5] for r in got) == bag(want)
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for v in bins.values():
+        v.sort()
+        assert [a for a, _ in v] == [sum(n for _, n in v[:i]) for i in range(len(v))] and sum(n for _, n in v) <= 1024
+    assert len(bins) <= -(-sum(r.length for r in got) // 1024) + 1
+
+
+def test_packing_plan_uses_few_bins():
+    from lodeframe.llm.packing import plan
+
+    r = np.random.default_rng(3)
+    for lengths in (r.integers(1, 1025, 3000), r.integers(300, 700, 2000), np.full(1000, 342), r.integers(1, 60, 5000)):
+        h = np.bincount(lengths, minlength=1025)
+        p = plan(h)
+        assert sum(c for _, _, c, _, _ in p.segments) == len(lengths)
+        least = max(-(-int(lengths.sum()) // 1024), int((lengths > 512).sum()), -(-int((lengths > 341).sum()) // 2))
+        assert p.bins <= least * 1.06 + 1
+
+
+def test_op10(spark, sf):
+    got = run(spark, "op10", sf)
+    text = {x[0]: x[1] or "" for x in ROWS}
+    assert len(got) == len(ROWS)
+    assert all(r.toxic == ("nasty" in text[r.doc_id]) for r in got) and all(0 <= r.severity <= 2 for r in got)
+
+
+def test_ordinal_regression_on_held_out_rows(spark):
+    from lodeframe.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    even = labels.filter("doc_id % 2 = 0")
+    rest = toxicity.scored(docs, toxicity.model(docs, even)).join(labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "label"), "doc_id")
+    n = {(r.label, r.toxic): r["count"] for r in rest.groupBy("label", "toxic").count().collect()}
+    assert n[1, True] / (n[1, True] + n[1, False]) > 0.8 and n[0, False] / (n[0, True] + n[0, False]) > 0.95
