@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -98,6 +99,24 @@ def test_network_on_held_out_findings():
     x, y = S.labelled(1000, 77)
     z = S.network().logits(x) >= S.network().threshold
     assert z[y == 1].mean() > 0.93 and z[y == 0].mean() < 0.02
+    p = S.network().probabilities(x)
+    assert np.mean((p - y) ** 2) < 0.05 and abs(p.mean() - y.mean()) < 0.05
+
+
+def test_candidates_of_long_runs_take_linear_time():
+    from lodeframe.llm import secrets as S
+
+    raw = b"q" * 2_000_000 + b" " + b"1-" * 1_000_000 + b" token=abcdefgh1 " * 20_000 + b"x1" * 20
+    start = time.time()
+    base = S.base_spans(raw)
+    assert len(base) == 20_000 and S.candidates(raw, base) == [(len(raw) - 40, len(raw))]
+    assert time.time() - start < 20
+    r = random.Random(4)
+    for _ in range(50):
+        raw = "".join(r.choice(["token=", "AKIA", "abcdefgh", "12345678", "0a1b2c3d" * 4, " ", "\n", "/"]) for _ in range(60)).encode()
+        base = S.base_spans(raw)
+        runs = [m.span() for m in re.finditer(rb"[A-Za-z0-9+/_.=-]{16,}", raw) if re.search(rb"[A-Za-z]", m[0]) and re.search(rb"[0-9]", m[0])]
+        assert S.candidates(raw, base) == [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e in base)]
 
 
 def test_op2(spark, sf):
