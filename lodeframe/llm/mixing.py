@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
-#: Hex digits of the key that name its range: 4 ** RANGE_DIGITS / rows bounds a range's rows at 100 TB too.
+#: Hex digits of the key that name its range: a source of n rows has about n / 16 ** RANGE_DIGITS in a range.
 RANGE_DIGITS = 3
 
 
