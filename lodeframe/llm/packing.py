@@ -34,8 +34,6 @@ TOKENIZER = "byte_bpe_50k.json"
 GROUPS = (12, 24, 48, 96, 1024)
 #: Lengths above this share of SIZE count as large.
 LARGE = 0.125
-#: Hex digits of a piece's hash that name its range among the pieces of its length: most pieces may be SIZE long.
-RANGE_DIGITS = 3
 NEWLINE = 10
 #: Special tokens' strings, which the tokenizer reads as one id, look like this.
 SPECIAL = re.compile(rb"<\|")
@@ -358,7 +356,10 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b[c] for c in b.schema.names if c != "rank"], pa.array(seq[at] + r - rank[at]), pa.array(offset[at])], names=[*[c for c in b.schema.names if c != "rank"], "sequence_id", "offset"])
 
     hashed = cut.withColumn("h", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece", "ids_crc32")))
-    ranked = prefix_sums(hashed, ["length"], [F.col(c) for c in ("h", "doc_id", "piece", "start", "ids_crc32")], F.substring("h", 1, RANGE_DIGITS), F.lit(1).cast("long"), "rank")
+    # about as many ranges in a length as pieces in a range, since most pieces may have one length
+    digits = [(x, -(-int(n).bit_length() // 8)) for x, n in enumerate(histogram.tolist()) if n]
+    hashed = hashed.join(F.broadcast(cut.sparkSession.createDataFrame(digits, "length long, digits int")), "length")
+    ranked = prefix_sums(hashed, ["length"], [F.col(c) for c in ("h", "doc_id", "piece", "start", "ids_crc32")], F.expr("substring(h, 1, digits)"), F.lit(1).cast("long"), "rank")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
     return ranked.select(*cut.columns, "rank").mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
