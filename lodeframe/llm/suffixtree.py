@@ -2,13 +2,14 @@
 
 A text is the sequence of its lower-cased words' bytes, a blank between words and one end symbol; its probability is that
 of its tokens, spelt out. Counts of all contexts of up to DEPTH symbols are taken over every training text. A context is a
-candidate if its share of all places is P_MIN or more (so there are at most 1 / P_MIN of each length: the tree's size has
-a bound that doesn't follow the corpus), and stays if its next-symbol distribution diverges from its parent's (the context
-without its oldest symbol): N * KL above PENALTY nats for each symbol seen. Suffixes of contexts that stay stay too.
-Distributions are smoothed towards the parent's in proportion to the number of distinct symbols (Witten-Bell), the root's
-towards a uniform one. A place is scored by the longest suffix of what precedes it that is a state.
+candidate if it is seen LEAST times, whatever the corpus' size, and stays if its next-symbol distribution diverges from its
+parent's (the context without its oldest symbol): N * KL above PENALTY nats for each symbol seen. Suffixes of contexts that
+stay stay too. Distributions are smoothed towards the parent's in proportion to the number of distinct symbols
+(Witten-Bell), the root's towards a uniform one. A place is scored by the longest suffix of what precedes it that is a state.
 
-The base score needs each word's exact count: a batch of texts asks once for each of its distinct words (keyed.py).
+The tree grows with the corpus and is never in one place: contexts of a length are dealt out by their parent, so that a
+task holds what the divergence test compares. The base score needs each word's exact count, the tree's score the states
+along each place: a batch of texts asks once for each of its distinct words, and contexts with a next symbol (keyed.py).
 
 Defined cases: null text is empty (only the end token); a null doc_id is read as "null" for the split; repeated rows are
 counted and scored each; without training texts every count is 0 and symbols are uniform; an empty table gives no rows.
@@ -25,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread, stored, table
-from .keyed import BATCH_BYTES, U64, pack, pack_small, ranges, unpack, unpack_small
+from .keyed import U64, pack, pack_small, ranges, unpack, unpack_small
 from .suffixes import _state, starts
 from .textbatch import LOWER, Run, mix, per_text, runs
 
-DEPTH = 5
-P_MIN = 4e-6
+DEPTH = 6
+LEAST = 2
 PENALTY = 2.0
 SYMBOLS = 256
+#: Text of a batch: the longer, the fewer of its contexts are asked for again by other batches.
+BATCH_BYTES = 8 << 20
 BLANK, END = 0x20, 0x0A
 END_KEY = U64(1)
 NO_ID = np.iinfo(np.int64).max
@@ -75,10 +78,28 @@ class Tokens:
             self.keys |= before.astype(U64) << U64(8 * j)
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def low(symbols: int) -> np.uint64:
+    """The mask of a packed key's last symbols."""
+    return U64((1 << 8 * symbols) - 1)
+
+
+def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     codes, u = pd.factorize(keys)
     order = np.argsort(u)
-    return u[order], np.bincount(codes, minlength=len(u))[order]
+    return u[order], np.bincount(codes, weights, len(u)).astype(np.int64)[order]
+
+
+def dealt(k: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted keys (context of depth symbols, symbol) by bucket, and the buckets' bounds in it. The bucket follows
+    from the parent context: its children are all in one."""
+    bucket = (mix(((k >> U64(8)) & low(depth - 1)) + U64(depth << 56)) % U64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
+
+
+def heads(c: np.ndarray) -> np.ndarray:
+    """Where each of grouped values begins."""
+    return np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +112,7 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _pass(buckets: int):
-    """kind 0: texts; 1: words asked for, with training counts; 2: training counts of contexts with a next symbol."""
+    """kind 0: texts; 1: words asked for, with training counts; 2: contexts with a next symbol, with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, size = TaskContext.get().partitionId(), 0, 0
@@ -110,20 +131,13 @@ def _pass(buckets: int):
             cut = ranges(u, 64, buckets)
             out = [(0, batch, -1, *_state(texts, np.concatenate(ids)), symbols, tokens)]
             out += [(1, batch, i, pack(u[cut[i] : cut[i + 1]]), pack_small(n[cut[i] : cut[i + 1]]), None, 0, 0) for i in range(buckets) if cut[i + 1] > cut[i]]
-            for x in (texts, ids, words):
-                x.clear()
-            return rows(out)
-
-        def tree():
-            out = []
             k, n = summed(grams)
-            grams.clear()
-            for order in range(DEPTH, -1, -1):
-                k, n = summed([(k & U64((1 << 8 * (order + 1)) - 1), n)])
-                bucket = (mix((k >> U64(8)) + U64(order << 56)) % U64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                out += [(2, part, order * buckets + i, pack(k[by[at[i] : at[i + 1]]]), pack_small(n[by[at[i] : at[i + 1]]]), None, 0, 0) for i in range(buckets) if at[i + 1] > at[i]]
+            for d in range(DEPTH, 0, -1):
+                k, n = summed([(k & low(d + 1), n)])
+                by, at = dealt(k, d, buckets)
+                out += [(2, batch, d * buckets + i, pack(k[by[at[i] : at[i + 1]]]), pack_small(n[by[at[i] : at[i + 1]]]), None, 0, 0) for i in range(buckets) if at[i + 1] > at[i]]
+            for x in (texts, ids, words, grams):
+                x.clear()
             return rows(out)
 
         for b in batches:
@@ -135,24 +149,20 @@ def _pass(buckets: int):
                 flag = np.repeat(train, np.diff(t.bounds))
                 u, code = np.unique(t.words, return_inverse=True)
                 words += [(u, np.bincount(code, weights=flag, minlength=len(u)).astype(np.int64)), (np.array([END_KEY]), np.array([int(train.sum())]))]
-                keys = t.keys[np.repeat(train, np.diff(t.at))]
-                grams.append(counted(keys))
+                learnt = np.repeat(train, np.diff(t.at))
+                grams.append(counted(t.keys, learnt))
                 tokens += int(flag.sum() + train.sum())
-                symbols += len(keys)
+                symbols += int(learnt.sum())
                 texts.append(Run(r.data.copy(), r.offsets))
                 ids.append(mine)
                 size += len(r.data)
-                if sum(len(x) for x, _ in grams) > 2_000_000:
+                if sum(len(x) for x, _ in grams) > 4_000_000:
                     grams[:] = [summed(grams)]
-                    if len(grams[0][0]) > 1_500_000:
-                        yield tree()
                 if size >= BATCH_BYTES:
                     yield flush()
                     size, seq, tokens, symbols = 0, seq + 1, 0, 0
         if texts:
             yield flush()
-        if grams:
-            yield tree()
 
     return run
 
@@ -165,29 +175,132 @@ def _word_counts(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table([t["batch"], t["bucket"], pa.array(answers, pa.binary()), pa.array([known] + [0] * (len(parts) - 1), pa.int64())], names=["batch", "bucket", "n", "known"])
 
 
-def _contexts(least: float, buckets: int):
+TREE = [("bucket", pa.int32()), ("c", pa.binary()), ("total", pa.binary()), ("distinct", pa.binary()), ("stay", pa.binary()), ("k", pa.binary()), ("n", pa.binary())]
+TREE_SQL = "bucket int, c binary, total binary, distinct binary, stay binary, k binary, n binary"
+
+
+def _tree_row(bucket: int, c, total, distinct, stay, k, n) -> pa.Table:
+    row = [bucket, pack(c), pack_small(total), pack_small(distinct), stay.astype(np.uint8).tobytes(), pack(k), pack_small(n)]
+    return pa.table([pa.array([x], t) for x, (_, t) in zip(row, TREE)], names=[x for x, _ in TREE])
+
+
+def _contexts(buckets: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        """Candidates among this task's contexts, with their next symbols' counts."""
+        """Candidates among this task's contexts, with their next symbols' counts, and whether they diverge from their
+        parents, whose counts are the sums of their children's. All next symbols' counts in bucket 0."""
+        bucket = t["bucket"][0].as_py()
+        d = bucket // buckets
         k, n = summed([(unpack(a), unpack_small(b)) for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist())])
+        k, n = k[n > 0], n[n > 0]
         c = k >> U64(8)
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        total = np.add.reduceat(n, first)
-        keep = np.repeat(total >= least, np.diff(np.append(first, len(k))))
-        return pa.table([pa.array([t["bucket"][0].as_py() // buckets], pa.int32()), pa.array([pack(k[keep])]), pa.array([pack_small(n[keep])])], names=["depth", "keys", "counts"])
+        first = heads(c)
+        total = np.add.reduceat(n, first) if len(k) else n
+        distinct = np.diff(np.append(first, len(k)))
+        own = np.repeat(np.arange(len(first)), distinct)
+        u, code = np.unique(k & low(d), return_inverse=True)
+        pn = np.bincount(code, n, len(u))
+        _, pcode = np.unique(u >> U64(8), return_inverse=True)
+        parent = (pn / np.bincount(pcode, pn)[pcode])[code] if len(k) else n
+        gain = np.bincount(own, n * np.log(n / total[own] / parent), len(first)) if len(k) else np.zeros(0)
+        some = total >= LEAST
+        keep = some[own] if len(k) else np.zeros(0, bool)
+        out = [_tree_row(bucket, c[first][some], total[some], distinct[some], gain[some] > PENALTY * distinct[some], k[keep], n[keep])]
+        if d == 1:
+            none = np.zeros(0, np.int64)
+            out.append(_tree_row(0, none, none, none, none, u, pn))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _suffixes(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Suffixes of the contexts that diverge: they stay too."""
+        for b in batches:
+            for bucket, c, stay in zip(*(b[x].to_pylist() for x in ("bucket", "c", "stay"))):
+                at = unpack(c)[np.frombuffer(stay, np.uint8) > 0]
+                for d in range(bucket // buckets - 1, 0, -1):
+                    at = np.unique(at & low(d))
+                    by, cut = dealt(at << U64(8), d, buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(d * buckets, (d + 1) * buckets, dtype=np.int32), np.diff(cut))), pa.array(at[by].view(np.int64))], names=["bucket", "c"])
 
     return run
 
 
+def _states(key: tuple, tree: pa.Table, suffixes: pa.Table) -> pa.Table:
+    out = [pa.table([pa.array([], t) for _, t in TREE], names=[x for x, _ in TREE])]
+    more = suffixes["c"].to_numpy().view(U64)
+    for r in tree.to_pylist():
+        c, total, distinct, k, n = unpack(r["c"]), unpack_small(r["total"]), unpack_small(r["distinct"]), unpack(r["k"]), unpack_small(r["n"])
+        stay = (np.frombuffer(r["stay"], np.uint8) > 0) | np.isin(c, more)
+        keep = np.repeat(stay, distinct)
+        out.append(_tree_row(r["bucket"], c[stay], total[stay], distinct[stay], stay[stay], k[keep], n[keep]))
+    return pa.concat_tables(out)
+
+
+def _found(sorted_keys: np.ndarray, values: list[np.ndarray], want: np.ndarray) -> list[np.ndarray]:
+    """Of each wanted key the values, or 0."""
+    if not len(sorted_keys):
+        return [np.zeros(len(want), np.int64) for _ in values]
+    at = np.minimum(np.searchsorted(sorted_keys, want), len(sorted_keys) - 1)
+    hit = sorted_keys[at] == want
+    return [np.where(hit, v[at], 0) for v in values]
+
+
+def _state_counts(key: tuple, asked: pa.Table, states: pa.Table) -> pa.Table:
+    """For each batch's keys of a bucket the count (n), and for its contexts how often they are seen (total) and with how many symbols (distinct); 0 of what is no state."""
+    none = np.zeros(0, U64)
+    s = states.to_pylist()
+    c, total, distinct, k, n = (unpack(s[0]["c"]), unpack_small(s[0]["total"]), unpack_small(s[0]["distinct"]), unpack(s[0]["k"]), unpack_small(s[0]["n"])) if s else [none] * 5
+    rows = []
+    for batch, bucket, a in zip(asked["batch"].to_pylist(), asked["bucket"].to_pylist(), asked["a"].to_pylist()):
+        want = unpack(a)
+        own = want >> U64(8)
+        rows.append((batch, bucket, *map(pack_small, [*_found(k, [n], want), *_found(c, [total, distinct], own[heads(own)])])))
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["batch", "bucket", "n", "total", "distinct"])
+
+
+def _log10(keys: np.ndarray, root: np.ndarray, got: dict[int, dict], buckets: int) -> np.ndarray:
+    """log10 P of sorted packed keys, all of a batch's, from the answers to them by bucket."""
+    levels, k = [], keys
+    for d in range(DEPTH, 0, -1):
+        k, back = np.unique(k & low(d + 1), return_inverse=True)
+        levels.append((d, k, back))
+    back_to = [x[2] for x in levels[1:]]  # from each level to the shorter one
+    p = root[(levels[-1][1] & U64(255)).astype(np.int64)] if len(keys) else np.zeros(0)
+    for i in range(DEPTH - 1, -1, -1):
+        d, k, _ = levels[i]
+        if i < DEPTH - 1:
+            p = p[back_to[i]]
+        by, at = dealt(k, d, buckets)
+        for b in range(buckets):
+            mine = by[at[b] : at[b + 1]]
+            if not len(mine):
+                continue
+            r = got[d * buckets + b]
+            own = k[mine] >> U64(8)
+            many = np.diff(np.append(heads(own), len(own)))
+            n, total, distinct = unpack_small(r["n"]), np.repeat(unpack_small(r["total"]), many), np.repeat(unpack_small(r["distinct"]), many)
+            p[mine] = np.where(distinct > 0, (n + distinct * p[mine]) / np.maximum(total + distinct, 1), p[mine])
+    return np.log10(p[levels[0][2]])
+
+
+def smoothed_root(k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    root = np.zeros(SYMBOLS)
+    root[k.astype(np.int64)] = n
+    seen = max(1, int((root > 0).sum()))
+    return (root + seen / SYMBOLS) / (root.sum() + seen)
+
+
 class Tree:
-    """Of each depth: states (sorted contexts) with their log10 weight of the parent, entries (context, symbol) with log10 P."""
+    """The same tree in memory, for small corpora. Of each depth: states (sorted contexts) with their log10 weight of the parent, entries (context, symbol) with log10 P."""
 
     def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
         k, n = counts.get(0, (np.zeros(0, U64), np.zeros(0, np.int64)))
         root = np.zeros(SYMBOLS)
         root[k.astype(np.int64)] = n
-        seen = max(1, int((root > 0).sum()))
-        p0 = (root + seen / SYMBOLS) / (root.sum() + seen)
-        self.root = np.log10(p0)
+        self.root = np.log10(smoothed_root(k, n))
         levels = []
         raw = {0: (np.zeros(1, U64), np.array([root.sum()]), np.arange(SYMBOLS, dtype=U64), root)}
         for d in range(1, DEPTH + 1):
@@ -203,7 +316,7 @@ class Tree:
             at = np.minimum(np.searchsorted(pk, low), max(len(pk) - 1, 0))
             parent = pn[at] / pt[np.searchsorted(pc, low >> U64(8))] if len(k) else n
             gain = np.bincount(own, weights=n * np.log(n / total[own] / parent), minlength=len(first)) if len(k) else np.zeros(0)
-            levels.append([c[first], total, distinct, k, n, gain > PENALTY * distinct])
+            levels.append([c[first], total, distinct, k, n, (gain > PENALTY * distinct) & (total >= LEAST)])
         for d in range(DEPTH - 1, 0, -1):  # suffixes of states are states
             child = np.unique(levels[d][0][levels[d][5]] & U64((1 << 8 * d) - 1))
             levels[d - 1][5] |= np.isin(levels[d - 1][0], child)
@@ -236,14 +349,15 @@ class Tree:
         return out
 
 
-def _scored(tree, n_tokens: int, vocabulary: int):
+def _scored(root: np.ndarray, n_tokens: int, vocabulary: int, buckets: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     whole = np.log10(n_tokens + 0.5 * (vocabulary + 1))
 
     def run(key: tuple, state: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in names]
-        got = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        every = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        got, tree = [r for r in every if r["total"] is None], {r["bucket"]: r for r in every if r["total"] is not None}
         for s in state.to_pylist():
             batch, ids = _runs(s)
             tokens = [Tokens(r) for r in batch]
@@ -251,18 +365,17 @@ def _scored(tree, n_tokens: int, vocabulary: int):
             count = np.concatenate([unpack_small(r["n"]) for r in got])
             log = np.log10(count + 0.5)
             end = int(np.searchsorted(u, END_KEY))
+            coded = [pd.factorize(t.keys) for t in tokens]
+            keys = np.unique(np.concatenate([x for _, x in coded]))
+            p = _log10(keys, root, tree, buckets)
             at = 0
-            for r, t in zip(batch, tokens):
+            for r, t, (codes, uniq) in zip(batch, tokens, coded):
                 place = np.searchsorted(u, t.words)
                 mine = ids[at : at + r.n].tolist()
                 at += r.n
                 n = np.diff(t.bounds) + 1
-                codes, uniq = pd.factorize(t.keys)
-                order = np.argsort(uniq)
-                p = np.empty(len(uniq))
-                p[order] = tree.value.log10(uniq[order])
                 columns = [mine, held_out(mine).tolist(), n.tolist(), (per_text(count[place] > 0, t.bounds) + (count[end] > 0)).tolist(), [n_tokens] * r.n]
-                columns += [(per_text(log[place], t.bounds) + log[end] - n * whole).tolist(), per_text(p[codes], t.at).tolist()]
+                columns += [(per_text(log[place], t.bounds) + log[end] - n * whole).tolist(), per_text(p[np.searchsorted(keys, uniq)][codes], t.at).tolist()]
                 for column, x in zip(out, columns):
                     column += x
         return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=names)
@@ -293,19 +406,24 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = spread(docs)
     state = stored(docs.mapInArrow(_pass(buckets), STATE_SQL), plain=True)
-    totals = state.filter("kind = 0").agg(F.sum("symbols").alias("s"), F.sum("tokens").alias("t")).first()
-    symbols, n = totals["s"] or 0, totals["t"] or 0
+    totals = state.filter("kind = 0").agg(F.sum("tokens").alias("t")).first()
+    n = totals["t"] or 0
     asked = state.filter("kind = 1").select("bucket", "batch", "a", "b")
     answers = stored(asked.groupBy("bucket").applyInArrow(_word_counts, "batch long, bucket int, n binary, known long"), plain=True)
     vocabulary = answers.agg(F.sum("known")).first()[0] or 0
-    contexts = state.filter("kind = 2").select("bucket", "a", "b").groupBy("bucket").applyInArrow(_contexts(max(1.0, P_MIN * symbols), buckets), "depth int, keys binary, counts binary")
-    counts: dict[int, list] = {}
-    for r in contexts.collect():  # at most 1 / P_MIN contexts of each depth, packed
-        counts.setdefault(r["depth"], []).append((unpack(r["keys"]), unpack_small(r["counts"])))
-    tree = docs.sparkSession.sparkContext.broadcast(Tree({d: summed(x) for d, x in counts.items()}))
+    contexts = state.filter("kind = 2").select("bucket", "batch", "a", "b")
+    tree = stored(contexts.select("bucket", "a", "b").groupBy("bucket").applyInArrow(_contexts(buckets), TREE_SQL), plain=True)
+    first = tree.filter("bucket = 0").select("k", "n").first()  # SYMBOLS counts at most
+    root = smoothed_root(unpack(first["k"]), unpack_small(first["n"])) if first else smoothed_root(np.zeros(0), np.zeros(0))
+    tree = tree.filter("bucket > 0")
+    suffixes = tree.select("bucket", "c", "stay").mapInArrow(_suffixes(buckets), "bucket int, c long").distinct()
+    states = stored(tree.groupBy("bucket").cogroup(suffixes.groupBy("bucket")).applyInArrow(_states, TREE_SQL), plain=True)
+    found = contexts.select("bucket", "batch", "a").groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(_state_counts, "batch long, bucket int, n binary, total binary, distinct binary")
+    none = F.lit(None).cast("binary")
+    answers = answers.select("batch", "bucket", "n", none.alias("total"), none.alias("distinct")).union(found)
     texts = state.filter("kind = 0").select((F.col("batch") + 0).alias("batch"), "a", "b", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scored(tree, n, vocabulary), schema)
+    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scored(root, n, vocabulary, buckets), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

@@ -197,6 +197,22 @@ def test_tree_is_a_distribution():
         assert (10 ** t.log10(every)).sum() == pytest.approx(1)
 
 
+def test_rare_contexts_are_states_in_any_corpus(spark):
+    from lodeframe.llm import suffixtree as S
+    from lodeframe.llm.textbatch import Run
+
+    r = random.Random(8)
+    rows = [(i, " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 5))) for _ in range(3000))) for i in range(150)]
+    rare = [i for i in range(1000, 1100) if not S.held_out([i])[0]][:4]
+    rows += [(i, "zqxwvk") for i in rare]  # four times in two million places
+    run = lambda t: S.Tokens(Run(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))
+    keys = np.concatenate([run(t).keys for i, t in rows if not S.held_out([i])[0]])
+    tree = S.Tree({d: S.counted(keys & np.uint64((1 << 8 * (d + 1)) - 1)) for d in range(S.DEPTH + 1)})
+    got = {x.doc_id: x.score for x in S.tree_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i] == pytest.approx(tree.log10(run(t).keys).sum()) for i, t in rows)
+    assert all(got[i] / 7 > -0.6 for i in rare)  # by the root alone it is under -4 a symbol
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_op5(spark, sf, k, percent):
     from lodeframe.llm.jaccard import linked
