@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate in its context.
 
 Base findings come from patterns. Every further run of 16 or more token characters with a letter and a digit is a
-candidate: the network (numpy) reads BEFORE characters before it and up to INSIDE of its own, embeds them, convolves,
-takes the maximum of each filter over place, and gives a logit. It is trained on labelled findings made by a seeded
+candidate: the network (numpy) reads windows of INSIDE characters that overlap and cover all of it, each with the BEFORE
+characters before it and the AFTER characters that follow, embeds them, convolves, takes the maximum of each filter over
+place, and gives a logit; a candidate has the largest of its windows'. The network is trained on labelled findings made by a seeded
 generator (keys of many shapes in assignments, URLs, headers; and words, addresses, paths, identifiers, numbers that are
 none), so the training set has a fixed size whatever the corpus. The threshold is the largest that keeps RECALL on
 held-out labelled findings; a scale and a shift fitted on these turn logits into calibrated probabilities.
@@ -36,7 +37,9 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
 LETTER, DIGIT = re.compile(rb"[A-Za-z]"), re.compile(rb"[0-9]")
 
-BEFORE, INSIDE = 20, 44
+BEFORE, INSIDE, AFTER = 20, 44, 12
+#: Places of windows in a long candidate: so far apart that half a window or more of any part lies in one.
+STEP = INSIDE // 2
 RECALL = 0.97
 FILTERS, WIDTH, EMBED, HIDDEN = 32, 5, 10, 24
 #: Characters by class for the embedding: each ASCII one its own code, all others one code, 0 beyond the text.
@@ -71,23 +74,38 @@ def candidates(raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return [(a, b) for a, b in (m.span() for m in CANDIDATE.finditer(raw)) if reach[bisect_left(starts, b)] <= a and has_both(raw, a, b)]
 
 
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """Windows that cover the run from a to b, the last one up to its end."""
+    last = max(a, b - INSIDE)
+    return [(x, min(b, x + INSIDE)) for x in [*range(a, last, STEP), last]]
+
+
 def encode(raw: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
-    x = np.zeros((len(spans), BEFORE + INSIDE), np.uint8)
+    x = np.zeros((len(spans), BEFORE + INSIDE + AFTER), np.uint8)
     for i, (a, b) in enumerate(spans):
-        lead = np.frombuffer(raw[max(0, a - BEFORE) : a], np.uint8)
-        own = np.frombuffer(raw[a : min(b, a + INSIDE)], np.uint8)
-        x[i, BEFORE - len(lead) : BEFORE] = np.minimum(lead, 127) + 1
-        x[i, BEFORE : BEFORE + len(own)] = np.minimum(own, 127) + 1
+        b = min(b, a + INSIDE)
+        for at, part in ((BEFORE - min(a, BEFORE), raw[max(0, a - BEFORE) : a]), (BEFORE, raw[a:b]), (BEFORE + INSIDE, raw[b : b + AFTER])):
+            x[i, at : at + len(part)] = np.minimum(np.frombuffer(part, np.uint8), 127) + 1
     return x
 
 
+def logits(raw: bytes, runs: list[tuple[int, int]], net: "Network") -> np.ndarray:
+    """Of each run the largest logit of its windows; so many windows at a time that a long run takes little memory."""
+    out = np.full(len(runs), -np.inf)
+    every = [(i, w) for i, (a, b) in enumerate(runs) for w in windows(a, b)]
+    for lo in range(0, len(every), 4096):
+        some = every[lo : lo + 4096]
+        np.maximum.at(out, [i for i, _ in some], net.logits(encode(raw, [w for _, w in some])))
+    return out
+
+
 class Network:
-    """Embedding, one convolution, maxima over the context and over the candidate, two dense layers."""
+    """Embedding, one convolution, maxima over what is before, the window and what follows, two dense layers."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
         n = lambda *s: (r.standard_normal(s) * np.sqrt(2 / s[0])).astype(np.float32)
-        self.p = [(r.standard_normal((CODES, EMBED)) * 0.5).astype(np.float32), n(WIDTH * EMBED, FILTERS), np.zeros(FILTERS, np.float32), n(2 * FILTERS, HIDDEN), np.zeros(HIDDEN, np.float32), n(HIDDEN, 1), np.zeros(1, np.float32)]
+        self.p = [(r.standard_normal((CODES, EMBED)) * 0.5).astype(np.float32), n(WIDTH * EMBED, FILTERS), np.zeros(FILTERS, np.float32), n(3 * FILTERS, HIDDEN), np.zeros(HIDDEN, np.float32), n(HIDDEN, 1), np.zeros(1, np.float32)]
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.0
 
     def forward(self, x: np.ndarray) -> tuple:
@@ -96,8 +114,8 @@ class Network:
         n, length, _ = v.shape
         cols = np.concatenate([v[:, i : length - WIDTH + 1 + i] for i in range(WIDTH)], 2)
         c = cols @ w + b
-        edge = BEFORE - WIDTH // 2
-        parts = (c[:, :edge], c[:, edge:])
+        edge = (0, BEFORE - WIDTH // 2, BEFORE + INSIDE - WIDTH // 2, c.shape[1])
+        parts = [c[:, lo:hi] for lo, hi in zip(edge, edge[1:])]
         at = [p.argmax(1) for p in parts]
         pooled = np.concatenate([np.take_along_axis(p, a[:, None], 1)[:, 0] for p, a in zip(parts, at)], 1)
         h0 = np.maximum(pooled, 0)
@@ -119,10 +137,10 @@ class Network:
                 dz = ((1 / (1 + np.exp(-z)) - y[i]) / len(i)).astype(np.float32)[:, None]
                 d1 = (dz @ w2.T) * (h1 > 0)
                 d0 = (d1 @ w1.T) * (pooled > 0)
-                dw, db, de = np.zeros_like(w), d0[:, :FILTERS].sum(0) + d0[:, FILTERS:].sum(0), np.zeros_like(e)
+                dw, db, de = np.zeros_like(w), d0.reshape(-1, 3, FILTERS).sum((0, 1)), np.zeros_like(e)
                 rows = np.arange(len(i))[:, None]
-                for k in range(2):
-                    place = at[k] + (edge if k else 0)
+                for k in range(3):
+                    place = at[k] + edge[k]
                     g = d0[:, k * FILTERS : (k + 1) * FILTERS]
                     seen = cols[rows, place]  # n, filters, width * embed
                     dw += np.einsum("nf,nfc->cf", g, seen)
@@ -168,16 +186,21 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: f"{word()}_{word()}_{word()}{r.randint(1, 9)}", lambda: f"section{r.randint(1, 99)}.{word()}.{word()}", lambda: "a1" + "=" * r.randint(14, 30), lambda: "x" * r.randint(10, 20) + "1" * r.randint(6, 12), lambda: "-" * r.randint(12, 30) + "v2", lambda: f"{word(2)}.{r.randint(10, 99)}.{word(2)}.{r.randint(10, 99)}.{word(3)}", lambda: word(5) + "." + word(5) + str(r.randint(10, 99)), lambda: "".join(str(r.randint(0, 9)) for _ in range(16)) + r.choice("abcdefgh"),
     ]
     around = [lambda: f"{word()} {word()}.", lambda: f"{word()} {word()} ", lambda: f"{word()}@", lambda: f"https://", lambda: f"{word()}\n", lambda: f"{word()}, {word()} | "]  # noqa: F541
+    ends = [" ", " ", "\n", ", ", "\" ", "\n\n", ".  "]
     xs, ys = [], []
     while len(xs) < n:
         secret = len(xs) % 2
         body = r.choice(keys if secret else plain)()
+        head = "".join(word() + r.choice("/._-/") for _ in range(r.randint(1, 24))) if r.random() < 0.35 else ""
+        tail = r.choice("/._") + word() if r.random() < 0.1 else ""
         before = r.choice(lead if secret or r.random() < 0.3 else around)()
-        raw = f"{word()} {word()} {before}{body} {word()}".encode("ascii")
+        raw = f"{word()} {word()} {before}{head}{body}{tail}{r.choice(ends)}{word()} {word()}".encode("ascii")
         a = raw.rindex(body.encode())
         m = next((m for m in CANDIDATE.finditer(raw) if m.start() <= a + len(body) - 1 and m.end() > a), None)
         if m and has_both(raw, *m.span()):
-            xs.append(encode(raw, [m.span()])[0])
+            # of a secret's windows the one that has most of it, of others any
+            most = max(windows(*m.span()), key=lambda w: min(w[1], a + len(body)) - max(w[0], a)) if secret else r.choice(windows(*m.span()))
+            xs.append(encode(raw, [most])[0])
             ys.append(secret)
     return np.array(xs), np.array(ys, np.float32)
 
@@ -197,7 +220,7 @@ def scan(text: str | None, net: Network) -> tuple[list[tuple[int, int, int]], li
     base = base_spans(raw)
     more = candidates(raw, base)
     if more:
-        z = net.logits(encode(raw, more))
+        z = logits(raw, more, net)
         return base, sorted(base + [(a, 3, b) for (a, b), v in zip(more, z) if v >= net.threshold])
     return base, base
 

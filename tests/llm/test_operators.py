@@ -103,6 +103,22 @@ def test_network_on_held_out_findings():
     assert np.mean((p - y) ** 2) < 0.05 and abs(p.mean() - y.mean()) < 0.05
 
 
+def test_secrets_late_in_long_runs_are_found():
+    import string
+
+    from lodeframe.llm import secrets as S
+
+    r = random.Random(21)
+    found = plain = 0
+    for _ in range(200):
+        path = "".join(r.choice(["assets", "images", "v2", "thumbs", "session", "node", "build"]) + r.choice("/.") for _ in range(r.randint(8, 30)))
+        key = "ghp_" + "".join(r.choices(string.ascii_letters + string.digits, k=36))
+        found += len(S.scan(f"see {path}{key} for more", S.network())[1])
+        plain += len(S.scan(f"see {path}page1 for more", S.network())[1])
+    assert found >= 190 and plain <= 20
+    assert S.windows(5, 200)[0][0] == 5 and S.windows(5, 200)[-1][1] == 200
+
+
 def test_candidates_of_long_runs_take_linear_time():
     from lodeframe.llm import secrets as S
 
