@@ -4,9 +4,10 @@ Each document's histogram of character classes, and of its language's common wor
 language by Jensen-Shannon divergence's square root (the distance, base 2). References are counted over all documents.
 A document passes if both distances stay under limits that widen for short texts (LIMIT + SLACK / sqrt(words)).
 
-Defined cases: null text counts as empty and fails; a null language, or one with under RARE of all words (so that at most
-1 / RARE references are sent out), is compared with every reference and keeps the least distance; without any reference
-only the base rule counts; repeated rows are judged each; an empty table gives no rows.
+Every language with LEAST words or more has a reference, whatever its share: a kilobyte or so for each is sent out.
+
+Defined cases: null text counts as empty and fails; without a reference (a null or empty language, or one of fewer words)
+only the base rule counts, and distances are null; repeated rows are judged each; an empty table gives no rows.
 """
 
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from .textbatch import LOWER, SPACE, Run, mix, per_text, runs, windows
 
 MIN_WORDS = 50
 COMMON = 64
-RARE = 0.01
+LEAST = 1000
 CHAR_LIMIT, WORD_LIMIT = 0.22, 0.42
 CHAR_SLACK, WORD_SLACK = 0.6, 1.6
 
@@ -121,25 +122,23 @@ class References:
 
     def __init__(self, rows: list):
         self.of: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for lang in sorted({r["lang"] for r in rows}):
+        for r in rows:
             classes = np.zeros(len(CLASSES))
-            words = sorted((r["key"], r["n"]) for r in rows if r["lang"] == lang and r["kind"] == 1)
-            for r in rows:
-                if r["lang"] == lang and r["kind"] == 0:
-                    classes[r["key"]] = r["n"]
-            total = next(r["total"] for r in rows if r["lang"] == lang)
-            share = np.array([n for _, n in words], float) / total
-            self.of[lang] = classes / classes.sum(), np.array([k for k, _ in words], np.int64), np.append(share, max(0.0, 1 - share.sum()))
+            for x in r["classes"]:
+                classes[x["key"]] = x["n"]
+            words = sorted((x["key"], x["n"]) for x in r["words"])
+            share = np.array([n for _, n in words], float) / r["total"]
+            self.of[r["lang"]] = classes / classes.sum(), np.array([k for k, _ in words], np.int64), np.append(share, max(0.0, 1 - share.sum()))
 
 
 def references(docs: DataFrame) -> References:
-    """Counted over all documents; at most 1 / RARE languages of COMMON words each come to the driver."""
-    n = stored(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(_count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
-    words = n.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    least = (words.agg(F.sum("total")).first()[0] or 0) * RARE
-    langs = words.filter((F.col("total") >= max(1, least)) & (F.col("lang") != ""))
+    """Counted over all documents; one row of COMMON words and the classes for each language comes to the driver."""
+    n = stored(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").filter("lang <> ''").mapInArrow(_count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
+    langs = n.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST)
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
-    return References(n.join(F.broadcast(langs), "lang").withColumn("rank", rank).filter(F.col("rank") <= COMMON).collect())
+    top = n.withColumn("rank", rank).filter(F.col("rank") <= COMMON)
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n")))
+    return References(langs.join(top.groupBy("lang").agg(of(1).alias("words"), of(0).alias("classes")), "lang").collect())
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -153,7 +152,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def distances(run: Run, langs: list, refs: References) -> tuple[np.ndarray, np.ndarray]:
     """Character and word distances; NaN without a reference or without words."""
-    char, word = np.full(run.n, np.inf), np.full(run.n, np.inf)
+    char, word = np.full(run.n, np.nan), np.full(run.n, np.nan)
     classes = class_counts(run).astype(float)
     shares = classes / np.maximum(classes.sum(1, keepdims=True), 1)
     low = Run(LOWER[run.data], run.offsets)
@@ -161,19 +160,18 @@ def distances(run: Run, langs: list, refs: References) -> tuple[np.ndarray, np.n
     h = low.hashes(starts, ends).view(np.int64)
     owner = np.repeat(np.arange(run.n), np.diff(bounds))
     count = np.maximum(np.diff(bounds), 1)[:, None]
-    declared = np.array([x if x in refs.of else None for x in langs], object)
-    for lang, (c, keys, w) in refs.of.items():
-        mine = (declared == lang) | np.array([x is None for x in declared], bool)
-        if not mine.any():
-            continue
+    full = np.diff(bounds) > 0
+    declared = np.array(["" if x is None else x for x in langs], object)
+    for lang in set(declared.tolist()) & refs.of.keys():
+        c, keys, w = refs.of[lang]
+        mine = full & (declared == lang)
         at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
         at = np.where(keys[at] == h, at, len(keys)) if len(keys) else np.zeros(len(h), np.int64)
         k = len(keys) + 1
         hist = np.bincount(owner * k + at, minlength=run.n * k).reshape(run.n, k) / count
-        char = np.where(mine, np.minimum(char, distance(shares, c)), char)
-        word = np.where(mine, np.minimum(word, distance(hist, w)), word)
-    none = np.isinf(char) | (np.diff(bounds) == 0)
-    return np.where(none, np.nan, char), np.where(none, np.nan, word)
+        char = np.where(mine, distance(shares, c), char)
+        word = np.where(mine, distance(hist, w), word)
+    return char, word
 
 
 FIELDS = [("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64())]
@@ -191,11 +189,13 @@ def judge(run: Run, langs: list, refs: References) -> dict[str, np.ndarray]:
 
 
 def quality(docs: DataFrame, refs: References) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(refs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b["lang"].to_pylist()
             for r in runs(b["text"]):
-                got = judge(r, langs[r.lo : r.lo + r.n], refs)
+                got = judge(r, langs[r.lo : r.lo + r.n], sent.value)
                 cols = [b["doc_id"].slice(r.lo, r.n), *[pa.array(got[c], t, from_pandas=True) for c, t in FIELDS[1:]]]
                 yield pa.RecordBatch.from_arrays(cols, names=[c for c, _ in FIELDS])
 

@@ -150,6 +150,22 @@ def test_op2(spark, sf):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_rare_languages_have_a_reference_of_their_own(spark):
+    from lodeframe.llm import quality as Q
+
+    r = random.Random(2)
+    make = lambda chars: [("".join(r.choices(chars, k=r.randint(2, 9)))) for _ in range(400)]
+    latin, cyrillic = make("abcdefghijklmnopqrst"), make("абвгдежзиклмнопрст")
+    sentence = lambda words: " ".join(r.choices(words, [1 / (i + 1) for i in range(400)], k=400))
+    rows = [(i, sentence(latin), "en") for i in range(1600)] + [(10_000 + i, sentence(cyrillic), "ru") for i in range(8)]
+    rows += [(20_000, sentence(latin), "ru"), (20_001, sentence(cyrillic), "bg"), (20_002, sentence(cyrillic), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in Q.quality(docs, Q.references(docs)).collect()}
+    assert all(got[i].kept and got[i].char_distance < 0.3 for i in range(10_000, 10_008))  # 0.5 % of all words
+    assert not got[20_000].kept  # measured against Russian, not against what it is like
+    assert all(got[i].kept and got[i].char_distance is None and got[i].word_distance is None for i in (20_001, 20_002))
+
+
 def test_distance():
     from lodeframe.llm.quality import distance
 
