@@ -1,7 +1,6 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate in its context.
 
-Base findings come from patterns. Every further run of 16 or more token characters with a letter and a digit is a
-candidate: the network (numpy) reads windows of INSIDE characters that overlap and cover all of it, each with the BEFORE
+Base findings come from patterns. What they leave of a run of token characters is a candidate if it has 16 or more: the network (numpy) reads windows of INSIDE characters that overlap and cover all of it, each with the BEFORE
 characters before it and the AFTER characters that follow, embeds them, convolves, takes the maximum of each filter over
 place, and gives a logit; a candidate has the largest of its windows'. The network is trained on labelled findings made by a seeded
 generator (keys of many shapes in assignments, URLs, headers; and words, addresses, paths, identifiers, numbers that are
@@ -34,6 +33,7 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(rb"[0-9a-f]{32,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api")
+SHORTEST = 16
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
 LETTER, DIGIT = re.compile(rb"[A-Za-z]"), re.compile(rb"[0-9]")
 
@@ -69,11 +69,26 @@ def has_both(raw: bytes, a: int, b: int) -> bool:
 
 
 def candidates(raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs that no base finding touches. base is in order."""
+    """Of the pieces those that are whole runs with a letter and a digit. base is in order."""
     starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max, initial=0))
     return [(a, b) for a, b in (m.span() for m in CANDIDATE.finditer(raw)) if reach[bisect_left(starts, b)] <= a and has_both(raw, a, b)]
 
 
+def pieces(raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What base findings leave of each run, if it is as long as a candidate. base is in order."""
+    out, i, reach = [], 0, 0
+    for a, b in (m.span() for m in CANDIDATE.finditer(raw)):
+        at = max(a, min(reach, b))
+        while i < len(base) and base[i][0] < b:
+            start, _, end = base[i]
+            if start - at >= SHORTEST:
+                out.append((at, start))
+            at, reach, i = max(at, min(end, b)), max(reach, end), i + 1
+        if b - at >= SHORTEST:
+            out.append((at, b))
+    return out
+
+
 def windows(a: int, b: int) -> list[tuple[int, int]]:
     """Windows that cover the run from a to b, the last one up to its end."""
     last = max(a, b - INSIDE)
@@ -178,13 +193,14 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     some = lambda chars, lo, hi: "".join(r.choice(chars) for _ in range(r.randint(lo, hi)))
     keys = [
         lambda: some(alnum, 20, 48), lambda: some(b64, 24, 60) + r.choice(["", "=", "=="]), lambda: some("0123456789abcdef", 24, 31), lambda: some("0123456789ABCDEF", 32, 48), lambda: "ghp_" + some(alnum, 30, 36), lambda: "xoxb-" + some(string.digits, 10, 12) + "-" + some(alnum, 20, 24), lambda: r.choice(["sk_live_", "pk_test_", "rk-"]) + some(alnum, 20, 32),
-        lambda: "AIza" + some(alnum + "-_", 33, 35), lambda: "eyJ" + some(alnum, 20, 30) + "." + some(alnum + "-_", 20, 40), lambda: some(up, 18, 24), lambda: some(alnum + "-_", 22, 43),
+        lambda: some(string.ascii_letters, 20, 32), lambda: "AIza" + some(alnum + "-_", 33, 35), lambda: "eyJ" + some(alnum, 20, 30) + "." + some(alnum + "-_", 20, 40), lambda: some(up, 18, 24), lambda: some(alnum + "-_", 22, 43),
     ]
     lead = [lambda: f"{word()} key = \"", lambda: f"{word()}: ", lambda: "Authorization: Bearer ", lambda: f"https://{word()}.com/?sig=", lambda: f"{word()} {word()} ", lambda: f"export {word().upper()}=", lambda: f"\"{word()}\": \"", lambda: "credential "]
     plain = [
         lambda: word(6) + str(r.randint(0, 99)) + word(6), lambda: f"mail{r.randint(0, 9)}.example.com", lambda: f"www{r.randint(1, 9)}.{word()}.com/{word()}/{word()}", lambda: f"{word()}/{word()}/{word()}_{r.randint(1, 99)}.html", lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}", lambda: f"{word()}-{word()}-{word()}-{r.randint(1, 999)}",
         lambda: f"{word()}_{word()}_{word()}{r.randint(1, 9)}", lambda: f"section{r.randint(1, 99)}.{word()}.{word()}", lambda: "a1" + "=" * r.randint(14, 30), lambda: "x" * r.randint(10, 20) + "1" * r.randint(6, 12), lambda: "-" * r.randint(12, 30) + "v2", lambda: f"{word(2)}.{r.randint(10, 99)}.{word(2)}.{r.randint(10, 99)}.{word(3)}", lambda: word(5) + "." + word(5) + str(r.randint(10, 99)), lambda: "".join(str(r.randint(0, 9)) for _ in range(16)) + r.choice("abcdefgh"),
     ]
+    plain += [lambda: "".join(word() for _ in range(r.randint(4, 9))), lambda: "".join(word() for _ in range(r.randint(4, 9))).upper() + r.choice(["", "."]), lambda: "-".join(word() for _ in range(r.randint(3, 9))), lambda: r.choice(".-=_/+") * r.randint(16, 60), lambda: "/".join(word().capitalize() for _ in range(r.randint(3, 9))), lambda: r.choice("abcxyzHA") * r.randint(16, 40), lambda: "".join(r.choice(string.digits) for _ in range(r.randint(16, 30)))]
     around = [lambda: f"{word()} {word()}.", lambda: f"{word()} {word()} ", lambda: f"{word()}@", lambda: f"https://", lambda: f"{word()}\n", lambda: f"{word()}, {word()} | "]  # noqa: F541
     ends = [" ", " ", "\n", ", ", "\" ", "\n\n", ".  "]
     xs, ys = [], []
@@ -196,11 +212,14 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         before = r.choice(lead if secret or r.random() < 0.3 else around)()
         raw = f"{word()} {word()} {before}{head}{body}{tail}{r.choice(ends)}{word()} {word()}".encode("ascii")
         a = raw.rindex(body.encode())
-        m = next((m for m in CANDIDATE.finditer(raw) if m.start() <= a + len(body) - 1 and m.end() > a), None)
-        if m and has_both(raw, *m.span()):
-            # of a secret's windows the one that has most of it, of others any
-            most = max(windows(*m.span()), key=lambda w: min(w[1], a + len(body)) - max(w[0], a)) if secret else r.choice(windows(*m.span()))
-            xs.append(encode(raw, [most])[0])
+        base = base_spans(raw)
+        if secret and any(x < a + len(body) and a < y for x, _, y in base):
+            continue  # patterns find it
+        # of a secret's windows the one that has most of it, of others any; a secret that no piece holds is an empty one
+        held = [w for x, y in pieces(raw, base) if x < a + len(body) and a < y for w in windows(x, y)]
+        if held or secret:
+            most = max(held, key=lambda w: min(w[1], a + len(body)) - max(w[0], a), default=(0, 0)) if secret else r.choice(held)
+            xs.append(encode(raw, [most])[0] if held else np.zeros(BEFORE + INSIDE + AFTER, np.uint8))
             ys.append(secret)
     return np.array(xs), np.array(ys, np.float32)
 
@@ -218,7 +237,7 @@ def scan(text: str | None, net: Network) -> tuple[list[tuple[int, int, int]], li
     """Base findings, and all findings, as (start, kind, end)."""
     raw = narrow(text or "")
     base = base_spans(raw)
-    more = candidates(raw, base)
+    more = pieces(raw, base)
     if more:
         z = logits(raw, more, net)
         return base, sorted(base + [(a, 3, b) for (a, b), v in zip(more, z) if v >= net.threshold])
