@@ -2,11 +2,12 @@
 
 Lengths are at most 1024, so a histogram of them says all that a plan needs, whatever the number of documents.
 1. Large lengths, longest first, are cut into groups of equal cardinality and rounded up to their group's longest.
-2. Configurations of these few sizes are optimised: again and again the fullest one that holds the largest size left
-   (a knapsack over the sizes left) is repeated as often as the counts allow.
+2. Configurations of these few sizes are optimised: a linear programme over all of them, solved by column generation
+   (a knapsack finds the configuration that the prices undervalue most). Whole multiples are taken; what is left over, at
+   most a bin or so for each group, goes into the fullest configurations it allows.
 3. The actual lengths take the slots; equal bins are kept as one run, so the plan's size doesn't follow the input's.
-4. Small pieces go where they fit best, longest first.
-This is tried for several numbers of groups (as many groups as lengths: no rounding), and the fewest bins win.
+4. Small pieces go where they fit best, longest first: into what rounding up left of the bins, too.
+GROUPS and LARGE are tried, and the plan of the fewest bins wins: many groups round little, few are repeated more often.
 Pieces then learn their place from their rank among the pieces of their length (distributed prefix counts).
 
 Defined cases: null or empty text is the end id alone; repeated rows are packed each; an empty table gives no rows.
@@ -31,13 +32,14 @@ from .textbatch import Run, runs
 SIZE = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-GROUPS = (12, 24, 48, 96, 1024)
-#: Lengths above this share of SIZE count as large.
-LARGE = 0.125
+GROUPS = (24, 48, 96)
+#: The linear programme's columns are looked for so many times a group at most; what is found by then is a valid plan.
+ROUNDS = 40
+#: Lengths above one of these shares of SIZE count as large.
+LARGE = (0.2, 0.36, 0.45)
 NEWLINE = 10
 #: Special tokens' strings, which the tokenizer reads as one id, look like this.
 SPECIAL = re.compile(rb"<\|")
-RANKS = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -53,8 +55,7 @@ class Encoder:
     Unicode's white space beyond ASCII never counts as such.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000, ranks: str | None = None):
-        import base64
+    def __init__(self, path: str, keep: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,13 +63,6 @@ class Encoder:
 
         self.t, self.keep = Tokenizer.from_file(path), keep
         self.newline = self.t.encode("\n", add_special_tokens=False).ids
-        self.lines = lambda text: self.t.encode(text, add_special_tokens=False).ids
-        if ranks:  # the same vocabulary as ranks: the same ids for plain words, several times as fast
-            import public_tokenizers
-            import tiktoken
-
-            table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(ranks, "rb"))}
-            self.lines = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.start()
 
     def start(self) -> None:
@@ -144,7 +138,7 @@ class Encoder:
             at = spread_out(a, b + 1)  # the byte after each piece makes room for a line's end
             text = np.append(d, np.uint8(NEWLINE))[at]
             text[np.cumsum(b - a + 1) - 1] = NEWLINE
-            ids = np.array(self.lines(text[:-1].tobytes().decode()), np.uint32)
+            ids = np.array(self.t.encode(text[:-1].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
             lines = np.flatnonzero(np.append(ids, self.newline[0]) == self.newline[0])
             if len(lines) == len(a):
                 lens[simple] = np.diff(lines, prepend=-1) - 1
@@ -174,11 +168,11 @@ def _sorted(a: tuple, b: tuple) -> tuple:
     return tuple(x[order] for x in both)
 
 
-def _pieces(path: str, size: int, end: int, ranks: str | None):
+def _pieces(path: str, size: int, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, ranks=ranks)
+        enc = Encoder(path)
         for b in batches:
             ids_of = b["doc_id"].to_pylist()
             for r in runs(b["text"]):
@@ -197,12 +191,10 @@ def _pieces(path: str, size: int, end: int, ranks: str | None):
     return run
 
 
-def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END_ID, ranks: str | None = None) -> DataFrame:
-    """Pieces of every row's ids. path: a tokenizer file; ranks: the same vocabulary as ranks, if there is one."""
-    if path is None:
-        path, ranks = tokenizer_path(), tokenizer_path(RANKS)
+def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END_ID) -> DataFrame:
+    """Pieces of every row's ids. path: a tokenizer file."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, size, end, ranks), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path or tokenizer_path(), size, end), schema)
 
 
 class Plan:
@@ -239,25 +231,80 @@ class Plan:
             self.open[gap - length].append((seq, m))
             count -= m
 
-
-def grouped(histogram: np.ndarray, size: int, groups: int) -> Plan:
+    def repeat(self, uses: dict[int, int], times: int, counts: list[int], queues: list[list[list[int]]]) -> None:
+        """A configuration so many times: actual lengths of its groups take the slots."""
+        taken = []
+        for x, n in uses.items():
+            counts[x] -= n * times
+            taken += [_take(queues[x], times) for _ in range(n)]
+        where = [0] * len(taken)
+        while times:
+            m = min(t[w][1] for t, w in zip(taken, where))
+            offset = 0
+            for i, t in enumerate(taken):
+                length = t[where[i]][0]
+                self.put(length, m, self.bins, offset)
+                offset += length
+                t[where[i]][1] -= m
+                where[i] += not t[where[i]][1]
+            self.open[self.size - offset].append((self.bins, m))
+            self.bins += m
+            times -= m
+
+
+def optimised(sizes: list[int], counts: list[int], size: int) -> list[tuple[np.ndarray, float]]:
+    """Configurations (pieces of each size) and how often to use each, with the fewest bins as a linear programme has it."""
+    s, n = np.array(sizes), np.array(counts, float)
+    basis = np.diag((size // s).astype(float))
+    for _ in range(ROUNDS * len(s)):
+        inverse = np.linalg.inv(basis)
+        price = inverse.sum(0)
+        value, config = _knapsack(s, price, size)
+        if value <= 1 + 1e-9:
+            break
+        step, x = inverse @ config, inverse @ n
+        ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        basis[:, int(ratio.argmin())] = config
+    x = np.linalg.solve(basis, n)
+    return [(basis[:, i].astype(np.int64), float(x[i])) for i in range(len(s)) if x[i] > 1e-9]
+
+
+def _knapsack(s: np.ndarray, price: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """The configuration worth most, piece by piece: best[k] is the most that k pieces or fewer are worth in each room."""
+    best, taken = [np.zeros(size + 1)], []
+    at = np.arange(size + 1)[None, :] - s[:, None]
+    for _ in range(size // int(s.min())):
+        worth = np.where(at >= 0, best[-1][np.maximum(at, 0)] + price[:, None], 0.0)
+        which = worth.argmax(0)
+        top = worth[which, np.arange(size + 1)]
+        taken.append(np.where(top > 0, which, -1))
+        best.append(top)
+    config, room = np.zeros(len(s)), size
+    for which in reversed(taken):
+        if which[room] >= 0:
+            config[which[room]] += 1
+            room -= int(s[which[room]])
+    return float(best[-1][size]), config
+
+
+def grouped(histogram: np.ndarray, size: int, groups: int, share: float) -> Plan:
+    """The plan with so many groups of the lengths above a share of size."""
     plan = Plan(size)
     left = histogram.astype(np.int64).copy()
     if left[size]:
         plan.best_fit(size, int(left[size]))
         left[size] = 0
-    large = [x for x in range(size - 1, int(size * LARGE), -1) if left[x]]
+    large = [x for x in range(size - 1, int(size * share), -1) if left[x]]
     total = int(left[large].sum()) if large else 0
     queues: list[list[list[int]]] = []  # of each group: [length, count], longest first
-    if groups >= size:
-        queues = [[[x, int(left[x])]] for x in large]
-    elif total:
+    if total:
         per, room = -(-total // groups), 0
         for x in large:
             n = int(left[x])
             while n:
                 if not room:
-                    queues.append([])
+                    if not queues or queues[-1][0][0] != x:  # groups of one length are one
+                        queues.append([])
                     room = per
                 m = min(n, room)
                 queues[-1].append([x, m])
@@ -266,28 +313,14 @@ def grouped(histogram: np.ndarray, size: int, groups: int) -> Plan:
     left[large] = 0
     sizes = [q[0][0] for q in queues]
     counts = [sum(c for _, c in q) for q in queues]
+    if sizes:
+        for config, times in sorted(optimised(sizes, counts, size), key=lambda c: -c[1]):
+            uses = {g: int(n) for g, n in enumerate(config) if n}
+            plan.repeat(uses, min(int(times + 1e-9), *(counts[g] // n for g, n in uses.items())), counts, queues)
     for g in range(len(sizes)):
         while counts[g]:
             uses = _fullest(sizes, counts, g, size)
-            times = min(counts[x] // n for x, n in uses.items())
-            slots = [x for x, n in uses.items() for _ in range(n)]
-            for x, n in uses.items():
-                counts[x] -= n * times
-            todo = times
-            taken = [_take(queues[x], times) for x in slots]
-            where = [0] * len(slots)
-            while todo:
-                m = min(t[w][1] for t, w in zip(taken, where))
-                offset = 0
-                for i, t in enumerate(taken):
-                    length = t[where[i]][0]
-                    plan.put(length, m, plan.bins, offset)
-                    offset += length
-                    t[where[i]][1] -= m
-                    where[i] += not t[where[i]][1]
-                plan.open[size - offset].append((plan.bins, m))
-                plan.bins += m
-                todo -= m
+            plan.repeat(uses, min(counts[x] // n for x, n in uses.items()), counts, queues)
     for x in range(size - 1, 0, -1):
         if left[x]:
             plan.best_fit(x, int(left[x]))
@@ -337,7 +370,7 @@ def _fullest(sizes: list[int], counts: list[int], g: int, size: int) -> dict[int
 
 
 def plan(histogram: np.ndarray, size: int = SIZE) -> Plan:
-    return min((grouped(histogram, size, g) for g in GROUPS), key=lambda p: p.bins)
+    return min((grouped(histogram, size, g, share) for g in GROUPS for share in LARGE), key=lambda p: p.bins)
 
 
 def place(cut: DataFrame, size: int = SIZE) -> DataFrame:

@@ -370,6 +370,52 @@ def test_packing_plan_uses_few_bins():
         assert p.bins <= least * 1.06 + 1
 
 
+def test_configurations_are_optimal():
+    """Against all configurations' linear programme: no weights under which every configuration is worth 1 at most give more."""
+    from lodeframe.llm.packing import _knapsack, optimised
+
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        sizes = sorted(r.choice(np.arange(130, 1000), 12, replace=False).tolist(), reverse=True)
+        counts = r.integers(1, 500, 12).tolist()
+        found = optimised(sizes, counts, 1024)
+        for config, _ in found:
+            assert config @ np.array(sizes) <= 1024
+        assert np.allclose(sum(c * x for c, x in found), counts)
+        # the dual prices of the configurations used prove it: none is worth more than 1, and all pieces together cost that many bins
+        matrix = np.array([c for c, _ in found], float)
+        price = np.linalg.lstsq(matrix, np.ones(len(found)), rcond=None)[0]
+        if len(found) == len(sizes):
+            assert _knapsack(np.array(sizes), price, 1024)[0] <= 1 + 1e-6
+            assert sum(x for _, x in found) == pytest.approx(float(price @ np.array(counts)))
+
+
+def test_grouped_plans_lose_little():
+    """Held against best fit of the unrounded lengths, longest first. All plans that are tried have fewer than 100 groups."""
+    from lodeframe.llm import packing
+
+    assert max(packing.GROUPS) < 100
+    r = np.random.default_rng(11)
+    for lengths in (np.concatenate([np.full(5400, 1024), r.integers(1, 1024, 2000), np.minimum(1023, r.gamma(6, 90, 8000).astype(int) + 1)]), r.integers(1, 1024, 20000)):
+        for times in (1, 10**6):  # as many lengths, a million times the pieces
+            h = np.bincount(lengths, minlength=1025) * times
+            p, alone = packing.plan(h), packing.Plan(1024)
+            for x in range(1024, 0, -1):
+                if h[x]:
+                    alone.best_fit(x, int(h[x]))
+            assert p.bins <= 1.01 * alone.bins and len(p.segments) < 50_000
+
+
+def test_packing_of_a_corpus_is_near_its_lower_bound(spark):
+    from lodeframe.llm import packing
+
+    cut = packing.pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    h = np.zeros(1025, np.int64)
+    for r in cut.groupBy("length").count().collect():
+        h[r["length"]] = r["count"]
+    assert packing.plan(h).bins <= 1.005 * (h @ np.arange(1025)) / 1024
+
+
 def test_op10(spark, sf):
     got = run(spark, "op10", sf)
     text = {x[0]: x[1] or "" for x in ROWS}
