@@ -337,6 +337,49 @@ def test_op8(spark, sf):
     assert sorted(map(tuple, run(spark, "op8", sf))) == sorted(want)
 
 
+def test_cutoff_resolves_few_pairs():
+    from lodeframe.llm import topk as T
+
+    r = np.random.default_rng(4)
+    for make in (lambda n: r.normal(size=(n, 64)), lambda n: r.normal(size=(n, 64)) * r.gamma(1, 1, (n, 1)), lambda n: np.repeat(r.normal(size=(n // 50, 64)), 50, 0)):
+        d = np.floor(300 * make(8000))
+        q = d[::80]
+        exact = q @ d.T
+        pairs = opened = 0
+        lead = np.concatenate([lo + T.leading(d[lo : lo + 1000], 4) for lo in range(0, 8000, 1000)])
+        qi, di = T.listed(q, d[lead], 10, 4)
+        totals = T.resolved(q, d[lead], qi, di)
+        assert (totals == exact[qi, lead[di]]).all()
+        cut = np.array([np.sort(totals[qi == i])[-10] for i in range(len(q))])
+        assert all((np.sort(exact[i])[-10] >= cut[i]) for i in range(len(q)))
+        for lo in range(0, 8000, 1000):
+            a, b = T.collected(q, d[lo : lo + 1000], cut, 4)
+            opened += len(a)
+            got = set(zip(a.tolist(), b.tolist()))
+            assert set(zip(*(x.tolist() for x in np.nonzero(exact[:, lo : lo + 1000] >= cut[:, None])))) <= got
+        pairs = exact.size
+        assert opened < 0.05 * pairs
+
+
+def test_op8_over_many_cells(spark, monkeypatch):
+    """Blocks, query blocks and steps of a few rows: cells, ties across them, huge components, unlike lengths, repeated rows."""
+    from lodeframe.llm import topk as T
+
+    for name, value in (("ROWS", 16), ("QUERY_ROWS", 3), ("AT_ONCE", 2), ("LEAD", 2), ("LEAD_BLOCKS", 2), ("PAIRS", 7)):
+        monkeypatch.setattr(T, name, value)
+    r = random.Random(9)
+    rows = [(i, [float(r.randint(-9, 9)) for _ in range(r.choice([4, 6]))]) for i in range(150)] + [(i, [3.0] * 6) for i in range(200, 260)]
+    rows += [rows[7], rows[7], (300, [float(2**40)] * 6), (301, [1e300] * 2), (302, [-1e300, 5.0])]
+    docs = spark.createDataFrame(rows, "id long, vec array<double>")
+    queries = docs.filter("id in (0, 7, 30, 200, 201, 300, 302)").dropDuplicates(["id"])
+    want = []
+    for q, v in sorted({i: x for i, x in reversed(rows) if i in (0, 7, 30, 200, 201, 300, 302)}.items()):
+        score = lambda w: max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(v, w))))  # noqa: B023, E731
+        best = sorted((-score(w), i) for i, w in rows if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, T.top_k(docs, queries).collect())) == want
+
+
 def test_op9(spark, sf):
     from lodeframe.llm import packing
     from tokenizers import Tokenizer
