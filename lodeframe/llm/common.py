@@ -48,6 +48,15 @@ def spread(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * scan_partitions(df))
 
 
+def met(rows: DataFrame, facts: DataFrame, on: str | tuple[str, ...], salts: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts on their key, however many rows one key has: a key's rows are dealt to `salts` places by a
+    hash of all their columns, and the facts of a key are copied to those of its places that have rows."""
+    on = [on] if isinstance(on, str) else list(on)
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)))
+    copies = facts.join(dealt.select(*on, "__salt").distinct(), on)
+    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
 def word_count(text: str) -> Column:
     """Number of words [^\\x20\\x09-\\x0D]+ (null: 0), without Python: white space folded to one space each side."""
     t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " "))

@@ -2,15 +2,18 @@
 
 Documents with equal shingle sets form a class; classes are what is joined.
 1. Shingles are ordered by document frequency, rarest first (keyed.py). Two sets that reach the threshold share a shingle
-   among the first |s| - ceil(t |s|) + 1 of each; shingles of one document alone drop out. What is left are postings.
-2. Groups: each class is held against the least class that it shares a posting with; verified links join similar classes
-   into groups (components of these links).
-3. Lists of postings that hold several groups, joined if they have one least class, are cut into cells of at most PART x PART classes. In a cell the token-group
-   matrix holds each group's token union; its row sums bound a query's overlap with any member: under ceil(t |s|) the
-   group stays closed.
-4. Only qualifying groups are opened, their members' overlaps counted exactly, and the links that join groups are given out (no more than there are groups).
-5. Components of all links.
-Members of one group are never compared with each other, so a group of thousands of copies costs one comparison each.
+   among the first |s| - ceil(t |s|) + 1 of each; shingles of one document alone drop out. What is left are postings: they
+   say which classes may be similar, and nothing else.
+2. Similar classes are partitioned into groups before any two sets are compared: a class goes to the least class that it
+   shares a posting with, and a group is cut into parts of like size (a link joins sets whose sizes differ by 1 / t at most)
+   and of PART members or PART_TOKENS tokens at most, dealt by hash.
+3. A part is a task's unit. Its matrix has a row for each SUB of its members: their token union. A query's overlap with a row
+   bounds that with any member: rows that stay under ceil(t |query|) are closed, the others are opened, and only their
+   members' overlaps are counted exactly. First every class asks the group that it is in (the group's least class asks all
+   its parts), then, of the pairs of a class and another part that share a posting, those that may still join what no link
+   has joined yet.
+4. Components of all links.
+Links that would join what is joined already are not looked for, so a group of thousands of copies costs a comparison each.
 
 Defined cases: null and empty texts have no shingles and link with nothing; repeated rows (and repeated ids) are copies of
 each other; a null doc_id counts as the largest in naming a component and is null if alone; an empty table gives no rows.
@@ -24,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan_partitions, spread, stored, table
+from .common import WORD_RE, met, scan_partitions, spread, stored, table
 from .components import components
 from .keyed import BATCH_BYTES, U64, key_bits, pack, ranges, unpack
 from .textbatch import Run, mix, runs, windows
@@ -33,11 +36,11 @@ from .textbatch import Run, mix, runs, windows
 SHINGLE, PERCENT = 4, 85
 #: The general parameters of near-duplicate stages.
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80
-SALTS = 64
-#: Members of a posting list on either side of a cell, and rows (about) that a task takes at a time.
-PART, CELL_ROWS = 512, 2000
-#: Bits of the fixed-size filter that spares sets which surely take no part.
-FILTER_BITS = 23
+NO_ID = np.iinfo(np.int64).max
+#: Members and tokens of a part, members of a row of the matrix, queries that a part is asked by at a time, tokens of a task.
+PART, PART_TOKENS, SUB, ASKED, TASK_TOKENS = 512, 1 << 18, 16, 512, 1 << 20
+#: The filter that spares sets which surely take no part has FILTER_SPARE bits a class, and at most 2 ** FILTER_BITS in all.
+FILTER_SPARE, FILTER_BITS = 16, 27
 
 
 def shingles(run: Run, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +76,12 @@ def signatures(own: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, n
     return size, np.where(size == 0, 0, sig.view(np.int64) | 1)
 
 
-STATE = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-STATE_SQL = "kind int, batch long, bucket int, a binary, b binary, c binary, d binary"
+STATE = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
+STATE_SQL = "kind int, batch long, bucket int, a binary, b binary, c binary, d binary, e binary"
 
 
-def _pass(k: int, bits: int, buckets: int):
-    """State rows (kind 0: ids, sizes, signatures, keys' places by text) and requests (kind 1: keys of a range)."""
+def _pass(k: int, bits: int, buckets: int, batch_bytes: int):
+    """State rows (kind 0: ids, sizes, signatures, keys' places by text, marks) and requests (kind 1: keys of a range)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -86,30 +89,29 @@ def _pass(k: int, bits: int, buckets: int):
         size = 0
 
         def flush():
-            ids, ns, sigs, keys = (np.concatenate(x) for x in zip(*held))
+            ids, ns, sigs, keys, marks = (np.concatenate(x) for x in zip(*held))
             held.clear()
             u, place = np.unique(keys, return_inverse=True)
             del keys
             place = place.astype(np.uint32)
             batch = (part << 24) + seq
             order = np.lexsort((place, np.repeat(np.arange(len(ns), dtype=np.int32), ns)))
-            rows = [(0, batch, -1, ids.astype("<i8").tobytes(), ns.astype("<i8").tobytes(), sigs.astype("<i8").tobytes(), pack(place[order]))]
+            rows = [(0, batch, -1, ids.astype("<i8").tobytes(), ns.astype("<i8").tobytes(), sigs.astype("<i8").tobytes(), pack(place[order]), marks.astype("<i8").tobytes())]
             cut = ranges(u, bits, buckets)
             owner = np.repeat(np.arange(len(ns)), ns)
             texts_with = np.bincount(np.unique(owner * max(1, len(u)) + place) % max(1, len(u)), minlength=len(u))
             del owner, place
-            rows += [(1, batch, i, pack(u[cut[i] : cut[i + 1]]), pack(texts_with[cut[i] : cut[i + 1]]), None, None) for i in range(buckets) if cut[i + 1] > cut[i]]
+            rows += [(1, batch, i, pack(u[cut[i] : cut[i + 1]]), pack(texts_with[cut[i] : cut[i + 1]]), None, None, None) for i in range(buckets) if cut[i + 1] > cut[i]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), STATE)], schema=STATE)
 
         for b in batches:
-            none = np.iinfo(np.int64).max
-            ids = b["doc_id"].fill_null(none).to_numpy()
+            ids, marks = b["doc_id"].fill_null(NO_ID).to_numpy(), b["mark"].to_numpy()
             for r in runs(b["text"]):
                 own, keys = shingles(r, k)
                 n, sig = signatures(own, keys, r.n)
-                held.append((ids[r.lo : r.lo + r.n], n, sig, keys >> U64(64 - bits)))
+                held.append((ids[r.lo : r.lo + r.n], n, sig, keys >> U64(64 - bits), marks[r.lo : r.lo + r.n]))
                 size += len(r.data)
-                if size >= BATCH_BYTES:
+                if size >= batch_bytes:
                     yield flush()
                     size, seq = 0, seq + 1
         if held:
@@ -191,30 +193,6 @@ def _sets(k: int, bits: int, words: np.ndarray):
     return run
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch["sa"], batch["sb"]
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), U64), np.frombuffer(b[i].as_buffer(), U64)
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _owners(tokens: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(tokens, kind="stable")
-    return tokens[order], own[order]
-
-
 def _overlaps(x: np.ndarray, flat: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     """How many of x each of n owners has."""
     lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
@@ -223,121 +201,186 @@ def _overlaps(x: np.ndarray, flat: np.ndarray, own: np.ndarray, n: int) -> np.nd
     return np.bincount(own[at], minlength=n)
 
 
-def _cell(c: np.ndarray, g: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Links of queries (left) with members (right) of other groups: only those that join groups not yet joined here."""
-    size = np.array([len(x) for x in sets])
-    groups, of = np.unique(g, return_inverse=True)
-    flat, own = _owners(np.concatenate([sets[k] for k in right]), np.repeat(right, size[right]))
-    pairs = np.unique(np.stack([flat, of[own].astype(U64)]), axis=1) if len(groups) < len(right) else None
-    union, union_of = (pairs[0], pairs[1].astype(np.int64)) if pairs is not None else (flat, of[own])
-    label = np.arange(len(groups))
-    for k in left:
-        x = sets[k]
-        bound = _overlaps(x, union, union_of, len(groups)) * 100 >= percent * len(x)
-        bound[label == label[of[k]]] = False
-        if not bound.any():
-            continue
-        both = _overlaps(x, flat, own, len(sets))
-        hit = np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & bound[of])
-        for m in hit[np.unique(label[of[hit]], return_index=True)[1]]:
-            yield int(c[m]), int(c[k])
-            label[label == label[of[m]]] = label[of[k]]
-
-
-def _opened(percent: int):
+class Matrix:
+    """Rows: the token unions of SUB members each, members of one component side by side."""
+
+    def __init__(self, c: np.ndarray, label: np.ndarray, sets: list[np.ndarray], sub: int):
+        _, of, many = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((c, [len(x) for x in sets], np.where(many[of] > 1, of, -1)))
+        self.c, self.label, self.sets = c[order], label[order].copy(), [sets[i] for i in order]
+        self.size = np.array([len(x) for x in self.sets])
+        self.row = np.arange(len(c)) // sub
+        self.n = int(self.row[-1]) + 1 if len(c) else 0
+        flat = np.concatenate(self.sets) if len(c) else np.zeros(0, U64)
+        own = np.repeat(self.row, self.size)
+        order = np.lexsort((own, flat))
+        flat, own = flat[order], own[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])
+        self.flat, self.own = flat[new], own[new]
+
+    def opened(self, x: np.ndarray, label: int, percent: int) -> np.ndarray:
+        """Members, not of the component, of the rows whose union's overlap with x lets a link be."""
+        other = self.label != label
+        if not other.any():
+            return np.zeros(0, np.int64)
+        bound = _overlaps(x, self.flat, self.own, self.n) * 100 >= percent * len(x)
+        return np.flatnonzero(other & bound[self.row])
+
+    def links(self, c: int, x: np.ndarray, label: int, percent: int) -> Iterator[tuple[int, int]]:
+        """Links of x with members, one for each component that it joins; these are one component from then on."""
+        at = self.opened(x, label, percent)
+        if not len(at):
+            return
+        flat = np.concatenate([self.sets[i] for i in at])
+        place = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+        total = np.concatenate([[0], np.cumsum(x[place] == flat)])
+        ends = np.cumsum(self.size[at])
+        both = total[ends] - total[ends - self.size[at]]
+        hit = at[100 * both >= percent * (self.size[at] + len(x) - both)]
+        for m in hit[np.unique(self.label[hit], return_index=True)[1]]:
+            yield int(self.c[m]), int(c)
+            self.label[self.label == self.label[m]] = label
+
+
+def _asked(percent: int, sub: int):
+    """Of each part: the links of its queries with its members; without queries of others, of its members too."""
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        c, g, part, i, j, keys = (t[x].to_numpy() for x in ("c", "g", "part", "i", "j", "key"))
-        sets = [np.frombuffer(x, U64) for x in t["s"].to_pylist()]
-        order = np.lexsort((j, i, keys))
-        new = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]) | np.concatenate([[True], (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)]))
-        out: set[tuple[int, int]] = set()
-        for at in np.split(order, new[1:]):
-            at_i, at_j = np.flatnonzero(part[at] == i[at[0]]), np.flatnonzero(part[at] == j[at[0]])
-            if len(at_i) and len(at_j):
-                out.update(_cell(c[at], g[at], [sets[k] for k in at], at_i, at_j, percent))
-        rows = sorted(out)
-        return pa.table([pa.array([x[k] for x in rows], pa.int64()) for k in range(2)], names=["a", "b"])
+        part, chunk, asks, c, label, sets = (t[x].to_pylist() for x in ("part", "chunk", "asks", "c", "label", "s"))
+        cells: dict[tuple, list[int]] = {}
+        for i, cell in enumerate(zip(part, chunk)):
+            cells.setdefault(cell, []).append(i)
+        out: list[tuple[int, int]] = []
+        for at in cells.values():
+            members, queries = [i for i in at if not asks[i]], sorted((i for i in at if asks[i]), key=lambda i: c[i])
+            m = Matrix(np.array([c[i] for i in members], np.int64), np.array([label[i] for i in members], np.int64), [np.frombuffer(sets[i], U64) for i in members], sub)
+            for i in queries:
+                out += m.links(c[i], np.frombuffer(sets[i], U64), label[i], percent)
+            if chunk[at[0]] < 0:  # the group's own round
+                for i in range(len(members)):
+                    out += m.links(int(m.c[i]), m.sets[i], int(m.label[i]), percent)
+        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
     return run
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, key: str, other: str, out: str) -> DataFrame:
-    """pairs with the set of column key; a key with very many pairs is spread over SALTS copies of its set."""
-    p = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-    copies = p.select(key, "salt").distinct().join(sets.select(F.col("c").alias(key), F.col("s").alias(out)), key)
-    return p.join(copies, [key, "salt"]).drop("salt")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    both = _with_set(_with_set(pairs.select("a", "b"), sets, "b", "a", "sb"), sets, "a", "b", "sa")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
-
-
-def _bitmap(classes: DataFrame) -> np.ndarray:
-    """2 ** FILTER_BITS bits, one set for each class's upper bits: a filter of fixed size."""
-    bit = F.shiftrightunsigned(F.col("c"), 64 - FILTER_BITS)
-    rows = classes.groupBy(F.shiftrightunsigned(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(c, {64 - FILTER_BITS}) & 63 AS INT))")).alias("v")).collect()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in rows:
-        words[r["w"]] = r["v"]
-    return words.view(U64)
-
-
-def _labelled(posts: DataFrame, label: DataFrame) -> DataFrame:
-    """posts with g: the group, named by its least class; classes that nothing links are groups of their own."""
-    return posts.join(label.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label")
-
-
-def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _bitmap(classes: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of bits of a filter, and its words: one bit set for each class's upper bits. Its size has a bound."""
+    bits = min(FILTER_BITS, max(16, int(classes.count() * FILTER_SPARE).bit_length()))
+    bit = F.shiftrightunsigned(F.col("c"), 64 - bits)
+    rows = classes.groupBy(F.shiftrightunsigned(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(c, {64 - bits}) & 63 AS INT))")).alias("v"))
+    words = np.zeros(1 << (bits - 6), np.int64)
+    got = rows.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
+    words[got["w"].to_numpy()] = got["v"].to_numpy()
+    return bits, words.view(U64)
+
+
+def _matched(filled: DataFrame, tokens: int, percent: int) -> DataFrame:
+    """(a, b) links of cells (part, chunk, asks, c, label, s) of so many tokens, stored."""
+    bucket = F.pmod(F.xxhash64("part", "chunk"), F.lit(tokens // TASK_TOKENS + 1))
+    return stored(filled.select("part", "chunk", "asks", "c", "label", "s").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_asked(percent, SUB), "a long, b long"))
+
+
+def shared(posts: DataFrame, salts: int) -> DataFrame:
+    """Postings (key, c, n) of keys that several classes have, with the list's least class; of lists alike one is left."""
+    own = [F.bit_xor(F.xxhash64("c", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least"), *own).filter("m > 1")
+    return stored(met(posts, lists.groupBy("m", "least", "x0", "x1").agg(F.min("key").alias("key")).select("key", "least"), "key", salts))
+
+
+def parted(classes: DataFrame, percent: int, salts: int) -> DataFrame:
+    """classes (c, g, n) with part: the group, a band of sizes and a hash within it, of which there are as many as the
+    band's members and tokens ask for. Links join bands next to each other at most."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(0.01, float(np.log(100 / percent))) * (1 + 1e-9)) + 1e-9).cast("int")
+    d = classes.withColumn("band", band)
+    many = d.groupBy("g", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") / PART_TOKENS)).cast("long").alias("parts"))
+    d = met(d, many, ("g", "band"), salts).withColumn("salt", F.pmod(F.xxhash64("c"), F.col("parts")))
+    return d.withColumn("part", F.xxhash64("g", "band", "salt")).select("c", "g", "n", "band", "part")
+
+
+def links_of(posts: DataFrame, sets: DataFrame, percent: int, salts: int) -> DataFrame:
+    """(node, label) of classes that link, from shared postings (key, c, n, least) and sets (c, s)."""
+    # 2. groups around the least class of each posting list, and their parts
+    parts = stored(parted(posts.groupBy("c").agg(F.min("least").alias("g"), F.first("n").alias("n")), percent, salts))
+    # 3. each group's own round: its members, and its least class as a query of its parts that can hold a link of it
+    cell = lambda d, chunk, asks: d.select("part", chunk.alias("chunk"), F.lit(asks).alias("asks"), "c", "label", "n")
+    own = cell(parts.withColumn("label", F.col("c")), F.lit(-1), False)
+    lead = parts.select(F.col("c").alias("g"), "c", F.col("c").alias("label"), "n", F.col("band").alias("own_band"), F.col("part").alias("own_part"))
+    asks = met(parts.select("g", "part", "band").distinct(), lead, "g", salts).filter("part <> own_part and abs(band - own_band) <= 1")
+    asks = stored(cell(asks, F.lit(-1), True))
+    tokens = (parts.agg(F.sum("n")).first()[0] or 0) + (asks.agg(F.sum("n")).first()[0] or 0)
+    links = _matched(own.join(sets, "c").unionByName(met(asks, sets, "c", salts)), tokens, percent)
+    label = components(links, salts)
+    known = parts.join(label.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    known = stored(known.select("c", "n", "band", "part", "label"))
+    # pairs of a class and another part that share a posting. Of a list's components the one of most classes needn't ask:
+    # the others ask for links with it
+    named = met(posts.select("key", "c"), known, "c", salts)
+    per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    major = per.groupBy("key").agg(F.max(F.struct("m", "label")).alias("x"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    named = stored(met(named, major.select("key", F.col("x.label").alias("major")), "key", salts))
+    held = named.groupBy("key", F.col("part").alias("to")).agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.first("band").alias("to_band"))
+    pairs = met(named.filter("label <> major"), held, "key", salts).filter("part <> to and abs(band - to_band) <= 1 and not (l1 = label and l2 = label)")
+    pairs = stored(pairs.select(F.col("to").alias("part"), "c", "label", "n").distinct())
+    asked = stored(pairs.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / ASKED), F.ceil(F.sum("n") / PART_TOKENS)).cast("int").alias("chunks")))
+    asks = cell(met(pairs, asked, "part", salts), F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"), True)
+    members = cell(met(known, asked, "part", salts), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), False)
+    cells = stored(asks.union(members))
+    tokens = cells.agg(F.sum("n")).first()[0]
+    return components(links.union(_matched(met(cells, sets, "c", salts), tokens, percent)), salts) if tokens else label
+
+
+def judged(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, mark, n, c, label) of every row of docs (doc_id, text, mark long): the class (0: no shingles) and the
+    component, named by a class. A null doc_id comes back as the largest long."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "mark")
     bits, buckets = key_bits(scan_partitions(docs)), spread(docs)
-    state = stored(docs.mapInArrow(_pass(k, bits, buckets), STATE_SQL), plain=True)
+    state = stored(docs.mapInArrow(_pass(k, bits, buckets, BATCH_BYTES), STATE_SQL), plain=True)
     answers = state.filter("kind = 1").select("bucket", "batch", "a", "b").groupBy("bucket").applyInArrow(_frequencies, "batch long, bucket int, size long, at binary, n binary, keys binary")
     own = state.filter("kind = 0").select((F.col("batch") + 0).alias("batch"), "a", "b", "c", "d")
     posts = own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_postings(percent), "key long, c long, n long, pos long")
-    posts = stored(posts.groupBy("key", "c").agg(F.first("n").alias("n"), F.min("pos").alias("pos")))
-    # 2. groups around the least class of each posting list
-    keys = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).filter("m > 1").select("key", "least")
-    posts = stored(posts.join(keys, "key"))
-    star = stored(posts.groupBy(F.col("c").alias("b")).agg(F.min("least").alias("a")).filter("a <> b").select("a", "b"))
-    words = _bitmap(posts.select("c").distinct())
-    sets = docs.select("doc_id", "text").mapInArrow(_sets(k, FILTER_BITS, words), "c long, s binary")
-    sets = stored(sets.join(posts.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("s").alias("s")))
-    links = stored(verified(star, sets, percent))
-    groups = components(links)
-    # 3 and 4. cells of the lists that hold several groups
-    named = stored(_labelled(posts.select("key", "c", "least"), groups))
-    several = named.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("key")
-    # lists with one least class are much alike: together they are one list, whose pairs are compared once
-    named = named.join(several, "key").select(F.col("least").alias("key"), "c", "g").distinct()
-    lists = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    rows = named.select("key", "c", "g").join(lists, "key").withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    cells = rows.withColumn("other", other).select("key", "c", "g", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    cells = stored(cells)
-    n = cells.count()
-    if n:
-        bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(n // CELL_ROWS + 1)).cast("int")
-        filled = cells.join(sets, "c").withColumn("bucket", bucket)
-        links = links.union(stored(filled.groupBy("bucket").applyInArrow(_opened(percent), "a long, b long")))
-    # 5. all components, and each class's least doc_id
-    label = components(links)
-    rows = state.filter("kind = 0").select("a", "b", "c").mapInArrow(_unrolled, "doc_id long, n long, c long")
-    classes = rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(label.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    names = classes.join(classes.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("c", "component_id")
-    none = F.lit(np.iinfo(np.int64).max)
-    out = rows.filter("n > 0").join(names, "c").select("doc_id", "n", "component_id").union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component_id", none).alias("component_id"))
+    posts = shared(stored(posts.groupBy("key", "c").agg(F.first("n").alias("n"))), buckets)
+    classes = stored(posts.select("c").distinct())
+    width, words = _bitmap(classes)
+    sets = docs.select("text").mapInArrow(_sets(k, width, words), "c long, s binary")
+    sets = stored(sets.join(classes, "c", "left_semi").groupBy("c").agg(F.first("s").alias("s")))
+    label = links_of(posts, sets, percent, buckets)
+    rows = state.filter("kind = 0").select("a", "b", "c", "e").mapInArrow(_unrolled, "doc_id long, n long, c long, mark long")
+    return met(rows, label.select(F.col("node").alias("c"), "label"), "c", buckets, "left").withColumn("label", F.coalesce("label", "c"))
+
+
+def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    rows = stored(judged(docs.select("doc_id", "text", F.lit(0).cast("long").alias("mark")), k, percent))
+    names = rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = met(rows.filter("n > 0"), names, "label", spread(docs)).select("doc_id", "n", "component_id").union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, k: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
+    """docs, all columns, one row of each component: that of the least doc_id (a null one last), of those the one of the
+    least text hash. Rows are told apart by doc_id and text, so that rows with one id, or none, are judged each by what
+    they hold; of rows alike in both, one stays. Rows without words all stay."""
+    columns = docs.columns
+    mark, seen = F.xxhash64("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = stored(judged(docs.select("doc_id", "text", mark.alias("mark")), k, percent).filter("n > 0").select("doc_id", "mark", "label"))
+    best = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select("x.doc_id", "x.mark")
+    kept = stored(best.join(rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("m")), ["doc_id", "mark"]))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD_RE)
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), seen.alias("doc_id"), mark.alias("mark"), wordless.alias("wordless"))
+    some = wrapped.filter("not wordless")
+    out = wrapped.filter("wordless").select("row").union(some.join(kept.filter("m = 1"), ["doc_id", "mark"], "left_semi").select("row"))
+    if kept.filter("m > 1").limit(1).count():  # rows alike in id and text are made one where they are read
+        one = some.groupBy("doc_id", "mark").agg(F.first("row").alias("row"))
+        out = out.union(one.join(kept.filter("m > 1"), ["doc_id", "mark"], "left_semi").select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def _unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[x], "<i8")) for x in "abc"], names=["doc_id", "n", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[x], "<i8")) for x in "abce"], names=["doc_id", "n", "c", "mark"])
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -290,6 +290,77 @@ def test_op5(spark, sf, k, percent):
     assert bag(map(tuple, got)) == bag(want)
 
 
+def components_by_hand(sets, percent):
+    name = list(range(len(sets)))
+
+    def find(i):
+        while name[i] != i:
+            name[i] = name[name[i]]
+            i = name[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                name[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def similar(n, seed):
+    """Documents in families of all degrees of likeness, a large one among them, and a passage that many share."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh", k=3))
+    passage, hub = [word() for _ in range(30)], [word() for _ in range(60)]
+    texts = []
+    while len(texts) < n:
+        base = hub if r.random() < 0.4 else [word() for _ in range(r.randint(3, 80))] + (passage if r.random() < 0.5 else [])
+        for _ in range(r.randint(1, 8)):
+            copy = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 3, 6])):
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy[r.choice([0, 0, 0, 1, 3]) :]))
+    return texts[:n]
+
+
+def test_op5_over_many_parts(spark, monkeypatch):
+    """Batches, parts, rows of the matrix, chunks of queries and tasks of a few documents each."""
+    from lodeframe.llm import jaccard as J
+
+    for name, value in (("BATCH_BYTES", 3000), ("PART", 4), ("PART_TOKENS", 500), ("SUB", 2), ("ASKED", 3), ("TASK_TOKENS", 300)):
+        monkeypatch.setattr(J, name, value)
+    texts = similar(500, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    for k, percent in ((4, 85), (3, 60)):
+        sets = []
+        for t in texts:
+            w = t.split()
+            sets.append(set(zip(*[w[i:] for i in range(k)])) if len(w) >= k else {tuple(w)} if w else set())
+        name = components_by_hand(sets, percent)
+        least = {}
+        for i, x in enumerate(name):
+            least.setdefault(x, i)
+        want = [(i, len(sets[i]), least[name[i]]) for i in range(len(texts))]
+        assert sorted(map(tuple, J.linked(docs, k, percent).collect())) == want
+        assert 20 < len(least) < 450
+
+
+def test_matrix_opens_rows_by_their_bound():
+    from lodeframe.llm.jaccard import Matrix
+
+    r = np.random.default_rng(2)
+    families = [np.unique(r.integers(0, 2**40, 80).astype(np.uint64)) for _ in range(16)]
+    sets = [np.unique(np.concatenate([f[r.random(len(f)) < 0.97], r.integers(0, 2**40, 2).astype(np.uint64)])) for f in families for _ in range(16)]
+    c = np.arange(len(sets))
+    label = c // 16 * 1000
+    m = Matrix(c, label, sets, 16)
+    opened = [len(m.opened(x, -1, 85)) for x in sets]
+    assert m.n == 16 and max(opened) <= 16  # a query's family alone
+    joined = {(a, b) for i in range(len(sets)) for a, b in m.links(i, sets[i], -i - 2, 85)}
+    want = {(a, b) for a in c for b in c if len(np.intersect1d(sets[a], sets[b])) * 100 >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert joined <= want and {a // 16 for a, _ in joined} == set(range(16))
+
+
 def test_op6(spark, sf):
     got = run(spark, "op6", sf)
     text = {x[0]: x[1] or "" for x in ROWS}

@@ -63,3 +63,20 @@ def test_the_mix_is_what_the_operator_takes(spark, sf):  # noqa: F811
 def test_whole_pipeline(spark, sf):  # noqa: F811
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and all(1 <= r.length <= 1024 for r in rows)
+
+
+def test_rows_without_id_are_judged_by_their_own_text(spark, sf):  # noqa: F811
+    near = lambda i: " ".join([f"w{j}" for j in range(60)] + [f"end{i}"])
+    row = lambda i, t: (i, t, None, "s", None, None, None, None, None, None, None)
+    got = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in stage(spark, "near_duplicates", rows, sf).collect())
+    want = lambda *rows: sorted((i is None, i or 0, t or "") for i, t in rows)
+    one, other = row(1, near(1)), row(None, near(2))
+    assert got([one, other]) == want((1, near(1)))
+    assert got([one, other, row(None, "something else that nobody copied at all")]) == want((1, near(1)), (None, "something else that nobody copied at all"))
+    two = got([row(None, near(1)), row(None, near(2))])
+    assert len(two) == 1
+    # unlike texts of one id both stay, a near copy under the same id goes; rows alike in id and text are one
+    assert got([row(4, near(1)), row(4, "quite another text than the first one is"), row(4, "quite another text than the first one is")]) == want((4, near(1)), (4, "quite another text than the first one is"))
+    assert len(got([row(4, near(1)), row(4, near(2))])) == 1
+    assert got([row(None, None), row(None, ""), row(2, " ")]) == want((None, None), (None, ""), (2, " "))
+    assert got([row(None, near(3))] * 5 + [row(None, "")] * 3) == want((None, near(3)), (None, ""), (None, ""), (None, ""))
