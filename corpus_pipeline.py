@@ -7,8 +7,7 @@ Defined cases: an empty table stays empty; null texts are kept as empty by filte
 copies of each other, so that one stays after near_duplicates; further columns pass through whatever their names.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.llm import jaccard, mixing, packing, secrets, toxicity
 from lodeframe.llm.common import stored, table
@@ -20,16 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id. Rows with one id are one document (the row with
-    the least text hash stays); rows without an id are told apart by their text."""
-    found = jaccard.linked(docs, jaccard.STAGE_SHINGLE, jaccard.STAGE_PERCENT)
-    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
-    own = Window.partitionBy("id", "part").orderBy("hash")
-    known = rows.filter("id is not null").join(kept.select(F.col("doc_id").alias("id")), "id", "left_semi").withColumn("part", F.lit(0).cast("long"))
-    nameless = rows.filter("id is null").withColumn("part", F.col("hash")) if kept.filter("doc_id is null").limit(1).count() else None
-    some = known if nameless is None else known.unionByName(nameless)
-    return some.withColumn("n", F.row_number().over(own)).filter("n = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """One document of each group stays: that with the smallest doc_id (a missing one last), of those the one with the
+    least text hash. Rows of one id, or without one, are judged each by their text."""
+    return jaccard.deduplicated(docs, jaccard.STAGE_SHINGLE, jaccard.STAGE_PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
