@@ -17,7 +17,7 @@ class Engine:
 
     def run(self, q: Query) -> Answer:
         source = None if q.dataset is None else self.catalog.dataset(q.dataset, q.version)
-        return plan(self.spark, q, source)
+        return plan(self.spark, q, source, [self.catalog.dataset(j.source.dataset, j.source.version) for j in q.joins])
 
     def sql(self, text: str) -> DataFrame:
         return self.run(parse_query(text)).df

@@ -86,8 +86,9 @@ def _round(args: list[Typed]) -> Typed:
 def _left(args: list[Typed]) -> Typed:
     _kind("left", args[0], "string")
     _kind("left", args[1], "int")
-    n = F.greatest(args[1].column, F.lit(0)).cast("int")
-    return Typed(F.substring(args[0].column, F.lit(1), n), "string")
+    n = args[1].column
+    whole = F.substring(args[0].column, F.lit(1), F.least(F.greatest(n, F.lit(0)), F.lit(2**31 - 1)).cast("int"))
+    return Typed(F.when(n.isNotNull(), whole), "string")
 
 
 def _split_part(args: list[Typed]) -> Typed:
@@ -97,7 +98,8 @@ def _split_part(args: list[Typed]) -> Typed:
     s, d, n = (a.column for a in args)
     if args[2].is_literal and args[2].literal is not None and int(args[2].literal) < 0:
         raise BindError("split_part: the part is not negative")
-    safe = F.when(n == 0, F.lit(1)).otherwise(n).cast("int")
+    negative = F.raise_error(F.lit("split_part: the part is not negative"))
+    safe = F.when(n < 0, negative.cast("int")).when(n == 0, F.lit(1)).otherwise(F.least(n, F.lit(2**31 - 1)).cast("int"))
     whole = F.when(d == "", F.substring(s, safe, F.lit(1))).when(F.instr(s, d) == 0, F.lit("")).otherwise(F.split_part(s, d, safe))
     return Typed(F.when(s.isNull() | d.isNull() | n.isNull(), F.lit(None)).when(n == 0, F.lit("")).otherwise(whole), "string")
 

@@ -1,14 +1,16 @@
 """A query over a DataFrame, as a DataFrame: scan, filter, group, project, distinct, sort, limit. Catalyst does the rest."""
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import BindError
 from ..operators.relational import ordering, uniquely
-from .binder import Binder, has_aggregate
-from .tree import Item, Literal, Name, Order, Query, Star, bare
+from .binder import Binder, Scope, children, has_aggregate
+from .tree import Infix, Item, Join, Literal, Name, Order, Query, Source, Star, bare
 
 
 @dataclass(frozen=True)
@@ -27,11 +29,12 @@ class Answer:
     ordering: list[str | None]
 
 
-def plan(spark: SparkSession, q: Query, source: DataFrame | None) -> Answer:
+def plan(spark: SparkSession, q: Query, source: DataFrame | None, others: Sequence[DataFrame] = ()) -> Answer:
+    """others: the joins' sources, in their order."""
     if source is None:
         source = spark.range(1).select()
-    spaces = tuple(s for s in (q.dataset, q.alias) if s)
-    plain = Binder(source.schema, spaces)
+    first = Source(q.dataset, q.version, q.alias) if q.dataset else None
+    source, plain = joined(source, first, q.joins, others) if q.joins else (source, Binder(source.schema, (scope(first, source),)))
     items = expand(q, plain)
     if q.where is not None:
         if has_aggregate(q.where):
@@ -78,15 +81,53 @@ def plan(spark: SparkSession, q: Query, source: DataFrame | None) -> Answer:
     return Answer(df, [Field(n, t.kind, t.nullable) for n, t in zip(names, bound)], marks)
 
 
+def scope(source: Source | None, df: DataFrame, prefix: str = "") -> Scope:
+    """A source goes by its alias, and by its own name; in a join by its alias alone, if it has one."""
+    names = [] if source is None else [source.alias or source.dataset] if prefix else [source.dataset, source.alias]
+    return Scope(frozenset(n.lower() for n in names if n), {c: prefix + c for c in df.columns})
+
+
+def conjuncts(x) -> list:
+    x = bare(x)
+    return conjuncts(x.a) + conjuncts(x.b) if isinstance(x, Infix) and x.op == "AND" else [x]
+
+
+def named(x) -> list[Name]:
+    return [x] if isinstance(x, Name) else [n for y in children(x) for n in named(y)]
+
+
+def joined(source: DataFrame, first: Source, joins: Sequence[Join], others: Sequence[DataFrame]) -> tuple[DataFrame, Binder]:
+    """The sources' columns side by side, each under a prefix of its own, and a binder that knows whose they are."""
+    renamed = lambda df, prefix: df.toDF(*[prefix + c for c in df.columns])
+    scopes = [scope(first, source, "s0.")]
+    left = renamed(source, "s0.")
+    for i, (j, other) in enumerate(zip(joins, others), 1):
+        right, own = renamed(other, f"s{i}."), scope(j.source, other, f"s{i}.")
+        if any(own.spaces & s.spaces for s in scopes):
+            raise BindError(f"two sources are called {min(own.spaces)!r}")
+        scopes.append(own)
+        binder = Binder(StructType([*left.schema, *right.schema]), tuple(scopes))
+        if has_aggregate(j.on):
+            raise BindError("ON can't use aggregates")
+        on = binder.bind(j.on)
+        if on.kind != "bool":
+            raise BindError(f"ON takes a boolean, not {on.kind}")
+        sides = lambda x: {binder.resolve(n) in right.columns for n in named(x)}  # noqa: B023, E731
+        if not any(isinstance(x, Infix) and x.op == "=" and sorted([sides(x.a), sides(x.b)], key=str) == [{False}, {True}] for x in conjuncts(j.on)):
+            raise BindError("a join needs an equality between its two sides: without one every row would meet every other")
+        left = left.join(right, on.column, j.kind)
+    return left, Binder(left.schema, tuple(scopes))
+
+
 def expand(q: Query, binder: Binder) -> list[Item]:
     out: list[Item] = []
     for i in q.select:
         if isinstance(i.x, Star):
             if q.dataset is None:
                 raise BindError("* needs FROM")
-            if i.x.space and i.x.space.lower() not in binder.spaces:
-                raise BindError(f"unknown namespace {i.x.space!r}")
-            out += [Item(Name(f.name, f.name.lower() != f.name), f.name) for f in binder.schema]
+            for s in binder.within(i.x.space):
+                space = min(s.spaces) if len(binder.scopes) > 1 else None
+                out += [Item(Name(name, name.lower() != name, space), name) for name in s.columns]
         else:
             out.append(i)
     return out
@@ -114,7 +155,7 @@ def group(source: DataFrame, q: Query, items: list[Item], plain: Binder) -> tupl
             if not 1 <= x.value <= len(items):
                 raise BindError(f"GROUP BY position {x.value} is out of range")
             x = bare(items[x.value - 1].x)
-        elif isinstance(x, Name) and not x.space and not any(f.name == x.name or not x.quoted and f.name.lower() == x.name.lower() for f in plain.schema):
+        elif isinstance(x, Name) and not x.space and not plain.has(x):
             x = next((bare(i.x) for i in items if i.label and i.label.lower() == x.name.lower()), x)
         if has_aggregate(x):
             raise BindError("GROUP BY can't use aggregates")
@@ -122,7 +163,7 @@ def group(source: DataFrame, q: Query, items: list[Item], plain: Binder) -> tupl
         if t.kind == "other":
             raise BindError("GROUP BY takes scalar types")
         keys.setdefault(plain.text(x), (f"__k{len(keys)}", t))
-    binder = Grouped(plain.schema, tuple(plain.spaces), keys)
+    binder = Grouped(plain.schema, plain.scopes, keys)
     if q.having is not None:
         binder.having = binder.bind(q.having)
         if binder.having.kind not in ("bool", "null"):

@@ -120,6 +120,28 @@ class Order:
         return f"{self.x} {'DESC' if self.down else 'ASC'} NULLS {'FIRST' if self.nulls_first else 'LAST'}"
 
 
+@dataclass(frozen=True)
+class Source:
+    dataset: str
+    version: str | None = None
+    alias: str | None = None
+
+    def __str__(self) -> str:
+        return f"{self.dataset}{f'@v{self.version}' if self.version else ''}{f' AS {name_text(self.alias)}' if self.alias else ''}"
+
+
+@dataclass(frozen=True)
+class Join:
+    """An inner or left join: rows of what stands before it, with those of a source that meet a condition."""
+
+    kind: str
+    source: Source
+    on: object
+
+    def __str__(self) -> str:
+        return f"{self.kind.upper()} JOIN {self.source} ON {self.on}"
+
+
 @dataclass(frozen=True)
 class Query:
     select: tuple
@@ -133,11 +155,12 @@ class Query:
     limit: int | None = None
     offset: int | None = None
     distinct: bool = field(default=False)
+    joins: tuple = ()
 
     def __str__(self) -> str:
         out = f"SELECT {'DISTINCT ' if self.distinct else ''}{', '.join(map(str, self.select))}"
         if self.dataset:
-            out += f" FROM {self.dataset}{f'@v{self.version}' if self.version else ''}{f' AS {name_text(self.alias)}' if self.alias else ''}"
+            out += " ".join([f" FROM {Source(self.dataset, self.version, self.alias)}", *map(str, self.joins)])
         for word, x in (("WHERE", self.where), ("GROUP BY", ", ".join(map(str, self.group)) or None), ("HAVING", self.having), ("ORDER BY", ", ".join(map(str, self.order)) or None), ("LIMIT", self.limit), ("OFFSET", self.offset)):
             out += "" if x is None else f" {word} {x}"
         return out

@@ -19,7 +19,7 @@ def value(x):
 
 
 def as_dict(answer: Answer, bytes_read: int = 0) -> dict:
-    rows = [[value(x) for x in r] for r in answer.df.collect()]
+    rows = [[value(x) for x in r] for r in answer.df.toLocalIterator(prefetchPartitions=True)]  # a partition at a time
     schema = [{"name": f.name, "dtype": f.dtype, "nullable": f.nullable} for f in answer.schema]
     return {"schema": schema, "nrows": len(rows), "bytes_read": bytes_read, "ordering": answer.ordering, "data": rows}
 

@@ -1,13 +1,15 @@
 """HTTP surface: /status, /api/datasets, /api/query, /upload/auto, /upload/raw, /upload/remote."""
 
+import argparse
 import json
-import sys
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .engine import Engine
+from .sources.sniff import clean
 
 
 class Refused(Exception):
@@ -49,6 +51,8 @@ def _answer(engine: Engine, method: str, path: str, query: dict, body: bytes):
         return json.loads(engine.json(_fields(body, {"sql"}).get("sql", "")))
     if path == "/upload/remote":
         got = _fields(body, {"name", "url"})
+        if not all(isinstance(got.get(k), str) and got[k] for k in ("name", "url")):
+            raise Refused(400, "name and url are needed")
         return engine.catalog.load_url(got["name"], got["url"])
     name = query.get("name", ["dataset"])[0]
     return engine.catalog.load(body, name) if path == "/upload/auto" else engine.catalog.keep_raw(name, body)
@@ -73,6 +77,29 @@ def serve(engine: Engine, port: int = 8822, host: str = "127.0.0.1") -> Threadin
     return ThreadingHTTPServer((host, port), Handler)
 
 
+def arguments(given: list[str] | None = None) -> argparse.Namespace:
+    p = argparse.ArgumentParser(prog="python -m lodeframe.server", description=__doc__)
+    p.add_argument("--expose", action="store_true", help="listen on all addresses, not only on this machine's own")
+    p.add_argument("--port-http", type=int, default=8822)
+    p.add_argument("--wdir", help="the dataset folder: any path that driver and executors share")
+    p.add_argument("--samples", metavar="FOLDER", help="load a folder of delimited files first, those that aren't datasets yet")
+    p.add_argument("--version", action="version", version=__version__)
+    return p.parse_args(given)
+
+
+def load_samples(engine: Engine, folder: str) -> list[dict]:
+    """A dataset of each file whose name no dataset has."""
+    known = {m["name"] for m in engine.catalog.list()}
+    return [engine.catalog.load(e.path, e.stem) for e in engine.catalog.files.list(folder) if e.is_file and clean(e.stem, "dataset") not in known]
+
+
+def main(given: list[str] | None = None) -> ThreadingHTTPServer:
+    got = arguments(given)
+    engine = Engine(SparkSession.builder.getOrCreate(), got.wdir)
+    if got.samples:
+        load_samples(engine, got.samples)
+    return serve(engine, got.port_http, "0.0.0.0" if got.expose else "127.0.0.1")  # noqa: S104  asked for
+
+
 if __name__ == "__main__":
-    _engine = Engine(SparkSession.builder.getOrCreate(), sys.argv[1] if len(sys.argv) > 1 else None)
-    serve(_engine).serve_forever()
+    main().serve_forever()

@@ -68,19 +68,23 @@ def typed(texts: DataFrame, kinds: list[str]) -> DataFrame:
     return texts.select(*[parsed(F.col(f"`{c}`"), k).cast(types.SPARK[k]).alias(c) for c, k in zip(texts.columns, kinds)])
 
 
+def quoted_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value may hold a line's end: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).filter(quotes % 2 == 1).limit(1).count())
+
+
 def read_texts(spark: SparkSession, path: str, fmt: Format, header: list[str]) -> DataFrame:
-    """All columns as text. A row of another width than the header's is an error, raised when it is read."""
+    """All columns as text. A row of another width than the header's is an error, raised when it is read.
+
+    Tabs know no quoting. Only a file with line ends inside quotes is read as a whole; others are split among tasks."""
     names = clean_all(header)
-    if fmt.delimiter == "\t":  # no quoting at all
-        parts = F.split(F.col("value"), "\t", -1)
-        lines = spark.read.text(path).filter(F.col("value") != "")
-        lines = lines.filter(F.col("value") != F.lit("\t".join(header))) if len(names) else lines
-        wrong = F.raise_error(F.concat(F.lit("row of another width than the header: "), F.col("value")))
-        split = lines.select(F.when(F.size(parts) == len(names), parts).otherwise(wrong.cast("array<string>")).alias("p"))
-        return split.select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)])
     bad = "__bad"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
-    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, multiLine=True, sep=fmt.delimiter, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=bad, encoding="UTF-8")
+    tabs = fmt.delimiter == "\t"
+    quoting = {"quote": "", "escape": ""} if tabs else {"quote": '"', "escape": '"'}
+    whole = not tabs and quoted_lines(spark, path)
+    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, multiLine=whole, sep=fmt.delimiter, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, encoding="UTF-8", **quoting)
     wrong = F.raise_error(F.concat(F.lit("row of another width than the header: "), F.col(bad)))
     first = F.when(F.col(bad).isNotNull(), wrong.cast("string")).otherwise(F.col(names[0]))
     return df.select(first.alias(names[0]), *names[1:])

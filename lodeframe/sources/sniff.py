@@ -9,6 +9,8 @@ from dataclasses import dataclass
 #: Fixed values of the formats.
 GZIP, BZIP2, BOM = b"\x1f\x8b", b"BZh", b"\xef\xbb\xbf"
 SAMPLE = 64 << 10
+#: Bytes of a file that are sure to hold the start of its content: a bzip2 block has up to 900 kB, and says nothing before its end.
+HEAD = 2 << 20
 DELIMITERS = (",", ";", " ", "|")
 
 

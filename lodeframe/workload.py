@@ -1,13 +1,23 @@
 """Queries of the dialect over the driver's tables, each with SQL that gives the same rows."""
 
+import bz2
+import gzip
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from . import types
 from .engine import Engine, over_parquet
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "benchmark", "pages", "conversations", "embeddings")
 
+#: Rows of the packed files: so many that a bzip2 block of them has over 256 KiB.
+PACKED_ROWS = 40_000
+
 FLAGSHIP = """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
 round(avg(l_discount), 6) AS avg_disc, min(l_shipdate) AS first_ship, max(l_extendedprice) AS top_price, count(*) AS n
 FROM lineitem WHERE l_quantity < 45 GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus"""
@@ -83,6 +93,13 @@ DIALECT: dict[str, str | tuple[str, str]] = {
     "agg_topk": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20",
     "limit_zero": "SELECT o_orderkey FROM orders LIMIT 0",
+    "join_inner": ("SELECT o.o_orderkey AS o_orderkey, c.c_custkey AS c_custkey, c_mktsegment AS segment, o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_totalprice > 100000", "SELECT o_orderkey, c_custkey, c_mktsegment AS segment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000"),
+    "join_left": ("SELECT c_custkey, o.o_orderkey AS k FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000", "SELECT c_custkey, o_orderkey AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000"),
+    "join_group": ("SELECT r.r_name AS r_name, n_name, count(*) AS n, round(sum(l_extendedprice), 2) AS v FROM lineitem l JOIN orders ON l_orderkey = o_orderkey INNER JOIN customer c ON o_custkey = c_custkey JOIN nation ON c.c_nationkey = n_nationkey LEFT OUTER JOIN region r ON n_regionkey = r_regionkey GROUP BY r.r_name, n_name ORDER BY v DESC, n_name LIMIT 15", "SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice), 2) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name ORDER BY v DESC, n_name LIMIT 15"),
+    "join_self": ("SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
+    "join_star": ("SELECT r.*, n.n_name AS n_name FROM nation n JOIN region r ON n_regionkey = r_regionkey", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "fn_left_null": ("SELECT n_nationkey, left(n_name, nullif(n_regionkey, 1)) AS l FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_regionkey <> 1 THEN left(n_name, n_regionkey) END AS l FROM nation"),
+    "fn_now": ("SELECT count(*) AS n FROM region WHERE now() = now() AND r_regionkey >= 0", "SELECT count(*) AS n FROM region"),
     "no_from": ("SELECT 1+2*3 AS a, upper('x') AS b", "SELECT CAST(1+2*3 AS BIGINT) AS a, upper('x') AS b"),
 }
 
@@ -98,7 +115,7 @@ def dialect_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 def _catalog(spark: SparkSession) -> Engine:
     """An engine whose datasets live in the shared folder, if the cluster names one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return Engine(spark, f"{shared.removeprefix('file://')}/datasets" if shared else None)
+    return Engine(spark, f"{shared}/datasets" if shared else None)
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +127,63 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT nation_key, n_name, region_key FROM nations_from_csv WHERE nation_key > 2")
 
 
+def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab-separated text, in which a row repeats the header."""
+    rows = spark.read.parquet(f"{sf_dir}/region.parquet").collect()  # 5 of them at any scale
+    e = _catalog(spark)
+    e.catalog.load(("name\tword\n" + "".join(f'{r["r_name"]}\t"{r["r_regionkey"]}\n' for r in rows) + "name\tword\n").encode(), "tabs")
+    return e.sql("SELECT name, word FROM tabs")
+
+
+def _packed(pack: Callable[[bytes], bytes], name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Text that hardly packs, so that a block of it is longer than a sample."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = "k;hash\n" + "".join(f"{i};{hashlib.md5(str(i).encode()).hexdigest()}\n" for i in range(PACKED_ROWS))
+        e = _catalog(spark)
+        e.catalog.load(pack(text.encode()), name)
+        return e.sql(f"SELECT k, hash FROM {name}")
+
+    return query
+
+
+def schema_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV under a given schema: keys stay texts, nothing is inferred."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    e = _catalog(spark)
+    e.catalog.load(("key,name\n" + "".join(f"{r['n_nationkey']},{r['n_name']}\n" for r in rows)).encode(), "typed", T.StructType([T.StructField("key", T.StringType()), T.StructField("name", T.StringType())]))
+    return e.sql("SELECT key, name, key < '2' AS low FROM typed")
+
+
+def map_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _catalog(spark)
+    e.catalog.load_map("from_map", {"b": ["x", "", "z"], "a": ["1", "2", ""]})
+    return e.sql("SELECT a, b FROM from_map")
+
+
+def folder_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file of a folder is a dataset."""
+    e = _catalog(spark)
+    folder = f"{e.catalog.folder}/folder-{uuid.uuid4().hex}"
+    for name, raw in (("one.csv", b"a,b\n1,x\n"), ("two.csv", b"a;c\n1;2.5\n1;4\n")):
+        e.catalog.files.write(f"{folder}/{name}", raw)
+    e.catalog.load_folder(folder)
+    return e.sql("SELECT one.a AS a, b, sum(c) AS s FROM one JOIN two ON one.a = two.a GROUP BY one.a, b")
+
+
+def padded_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    e = _catalog(spark)
+    e.catalog.load(("name,n\n" + "".join(f"\" \t{r['n_name']}  \",1\n" for r in rows)).encode(), "padded")
+    return e.sql("SELECT trim(name) AS name FROM padded WHERE name != trim(name)")
+
+
+def json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON answer, read back."""
+    got = json.loads(_engine(spark, sf_dir, "nation").json("SELECT n_name, n_regionkey, nullif(n_nationkey, n_nationkey) AS nothing FROM nation WHERE n_nationkey < 9 ORDER BY n_name"))
+    return spark.createDataFrame([tuple(r) for r in got["data"]], ", ".join(f"{c['name']} {types.SPARK[c['dtype']].simpleString()}" for c in got["schema"]))
+
+
 def dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An old version of a dataset that was loaded twice."""
     e = _catalog(spark)
@@ -118,8 +192,19 @@ def dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql(f"SELECT r_regionkey, r_name FROM area@v{old['id']}")
 
 
-QUERIES = {name: dialect_query(x if isinstance(x, str) else x[0]) for name, x in DIALECT.items()} | {"csv_roundtrip": csv_roundtrip, "dataset_version": dataset_version}
+QUERIES = {name: dialect_query(x if isinstance(x, str) else x[0]) for name, x in DIALECT.items()} | {
+    "csv_roundtrip": csv_roundtrip, "tsv_roundtrip": tsv_roundtrip, "gzip_roundtrip": _packed(gzip.compress, "zipped"), "bzip2_roundtrip": _packed(bz2.compress, "blocks"), "schema_load": schema_load,
+    "map_load": map_load, "folder_load": folder_load, "padded_trim": padded_trim, "json_result": json_result, "dataset_version": dataset_version,
+}
 SQL = {name: x if isinstance(x, str) else x[1] for name, x in DIALECT.items()} | {
     "csv_roundtrip": "SELECT CAST(n_nationkey AS BIGINT) AS nation_key, n_name, CAST(n_regionkey AS BIGINT) AS region_key FROM nation WHERE n_nationkey > 2",
+    "tsv_roundtrip": "SELECT r_name AS name, '\"' || r_regionkey AS word FROM region UNION ALL SELECT 'name', 'word'",
+    "gzip_roundtrip": f"SELECT i AS k, md5(CAST(i AS VARCHAR)) AS hash FROM range({PACKED_ROWS}) t(i)",
+    "bzip2_roundtrip": f"SELECT i AS k, md5(CAST(i AS VARCHAR)) AS hash FROM range({PACKED_ROWS}) t(i)",
+    "schema_load": "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CAST(n_nationkey AS VARCHAR) < '2' AS low FROM nation",
+    "map_load": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'x'), (2, ''), (NULL, 'z')) t(a, b)",
+    "folder_load": "SELECT CAST(1 AS BIGINT) AS a, 'x' AS b, 6.5::DOUBLE AS s",
+    "padded_trim": "SELECT n_name AS name FROM nation",
+    "json_result": "SELECT n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, CAST(NULL AS BIGINT) AS nothing FROM nation WHERE n_nationkey < 9",
     "dataset_version": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region",
 }

@@ -69,3 +69,39 @@ def test_compile_expression(engine, spark):
     df = spark.range(3)
     assert [r[0] for r in df.select(compile_expression("id * 2", df)).collect()] == [0, 2, 4]
     assert str(parse_expression("a+b * (c - 1)")) == "a+b*(c-1)"
+
+
+def test_null_and_negative_arguments(spark):
+    from lodeframe.engine import Engine
+
+    e = Engine(spark)
+    e.catalog.view("t", spark.createDataFrame([("a-b", 1), ("a-b", None), ("a-b", 0)], "s string, n long"))
+    assert [r.l for r in e.sql("SELECT left(s, n) AS l FROM t ORDER BY n").collect()] == ["", "a", None]
+    assert [r.p for r in e.sql("SELECT split_part(s, '-', n) AS p FROM t ORDER BY n").collect()] == ["", "a", None]
+    with pytest.raises(Exception, match="not negative"):
+        e.sql("SELECT split_part(s, '-', n - 2) AS p FROM t").collect()
+    assert [r.l for r in e.sql("SELECT left(s, n - 5) AS l FROM t WHERE n = 1").collect()] == [""]
+
+
+def test_joins(spark):
+    from lodeframe.engine import Engine
+    from lodeframe.errors import BindError, ParseError
+    from lodeframe.plans.parser import parse_query
+
+    e = Engine(spark)
+    e.catalog.view("a", spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k long, v string"))
+    e.catalog.view("b", spark.createDataFrame([(1, 0.5), (1, 1.5), (None, 2.5)], "k long, w double"))
+    rows = lambda text: [tuple(r) for r in e.sql(text).collect()]
+    assert rows("SELECT a.k AS k, v, w FROM a JOIN b ON a.k = b.k ORDER BY w") == [(1, "x", 0.5), (1, "x", 1.5)]
+    assert rows("SELECT v, w FROM a LEFT JOIN b ON a.k = b.k AND w < 1 ORDER BY v") == [("x", 0.5), ("y", None), ("z", None)]
+    assert rows("SELECT * FROM a JOIN b ON a.k = b.k ORDER BY w LIMIT 1") == [(1, "x", 1, 0.5)]
+    assert rows("SELECT one.v AS p, two.v AS q FROM a one JOIN a two ON one.k = two.k - 1") == [("x", "y")]
+    assert rows("SELECT v, count(w) AS n FROM a LEFT OUTER JOIN b ON b.k = a.k GROUP BY v ORDER BY v") == [("x", 2), ("y", 0), ("z", 0)]
+    for wrong in ("SELECT k FROM a JOIN b ON a.k = b.k", "SELECT v FROM a JOIN b ON a.k < b.k", "SELECT v FROM a JOIN b ON w = 1", "SELECT v FROM a JOIN a ON a.k = a.k", "SELECT v FROM a x JOIN b ON a.k = b.k", "SELECT v FROM a JOIN b ON a.k", "SELECT v FROM a JOIN b ON count(w) = a.k"):
+        with pytest.raises(BindError):
+            e.sql(wrong)
+    for wrong in ("SELECT v FROM a JOIN b", "SELECT v FROM a CROSS JOIN b ON a.k = b.k", "SELECT v FROM a LEFT b ON a.k = b.k"):
+        with pytest.raises(ParseError):
+            e.sql(wrong)
+    text = "SELECT v FROM a AS x LEFT JOIN b@v0123456789abcdef01 ON x.k = b.k WHERE v > 'a'"
+    assert str(parse_query(str(parse_query(text)))) == str(parse_query(text))

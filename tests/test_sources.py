@@ -78,3 +78,104 @@ def test_http(engine):
     assert status == 200 and json.loads(out) == {"schema": [{"name": "a", "dtype": "int", "nullable": True}, {"name": "b", "dtype": "string", "nullable": True}], "nrows": 2, "bytes_read": 0, "ordering": [None, "desc"], "data": [[None, "y"], [1, "x"]]}
     assert [ask("GET", "/api/query")[0], ask("POST", "/api/query", b'{"x": 1}')[0], ask("POST", "/api/query", b'{"sql": "nope"}')[0], ask("GET", "/no")[0]] == [405, 400, 500, 404]
     assert json.loads(ask("POST", "/upload/raw?name=r", b"zz")[1])["size_raw"] == 2
+
+
+def test_a_row_like_the_header_is_data(engine):
+    for raw in (b"a\tb\n1\tx\na\tb\n2\ty\n", b"a,b\n1,x\na,b\n2,y\n"):
+        assert engine.catalog.load(raw, "again")["nrows"] == 3
+        assert [r.b for r in engine.sql("SELECT a, b FROM again ORDER BY b").collect()] == ["b", "x", "y"]
+
+
+def test_bzip2_blocks_longer_than_a_sample(engine):
+    import random
+
+    r = random.Random(1)
+    packed = bz2.compress(("n,text\n" + "".join(f"{i},{r.randbytes(30).hex()}\n" for i in range(30_000))).encode())
+    assert len(packed) > 900_000
+    m = engine.catalog.load(packed, "long")
+    assert (m["nrows"], kinds(m)) == (30_000, [("int", False), ("string", False)])
+
+
+def test_line_ends_in_quotes_are_found(engine, spark, tmp_path):
+    from lodeframe.sources.ingest import quoted_lines
+
+    for raw, whole in (("a,b\n1,\"x\ny\"\n", True), ('a,b\n1,"x ""y"" z"\n', False), ("a,b\n", False)):
+        (tmp_path / "q.csv").write_text(raw)
+        assert quoted_lines(spark, str(tmp_path / "q.csv")) is whole
+
+
+def test_schema_folder_and_files(engine, spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.DoubleType())])
+    m = engine.catalog.load(b"a,b\n1,2\n,\n", "given", schema)
+    assert kinds(m) == [("string", True), ("float", True)] and engine.sql("SELECT a, b FROM given ORDER BY a").collect() == [("", None), ("1", 2.0)]
+    with pytest.raises(IngestError):
+        engine.catalog.load(b"a,c\n1,2\n", "given", schema)
+    folder = tmp_path / "folder"
+    (folder / "more").mkdir(parents=True)
+    (folder / "one.two.csv").write_text("x\n1\n")
+    (folder / "three.csv.gz").write_bytes(gzip.compress(b"y|z\n1|2\n"))
+    assert [m["name"] for m in engine.catalog.load_folder(str(folder))] == ["one_two", "three_csv"]
+    engine.catalog.drop()
+    assert engine.catalog.list() == []
+
+
+def test_damaged_pages_are_noticed(engine, spark):
+    df = spark.range(1000).selectExpr("md5(cast(id as string)) as h").coalesce(1)
+    m = engine.catalog.add("damaged", df)
+    assert engine.sql("SELECT count(h) AS n FROM damaged").collect() == [(1000,)]
+    path = f"{engine.catalog.folder}/data/{m['id']}/{m['stripes'][0]}"
+    raw = bytearray(open(path, "rb").read())
+    raw[len(raw) // 2] ^= 1
+    open(path, "wb").write(raw)
+    crc = path.replace("part-", ".part-") + ".crc"
+    __import__("os").remove(crc)  # the file system's own checksum would notice first
+    with pytest.raises(Exception, match="(?i)checksum|corrupt"):
+        engine.sql("SELECT max(h) AS n FROM damaged").collect()
+
+
+def test_remote_files_are_http_only(engine, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Page(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"a;b\n1;x\n")
+
+        def log_message(self, *args):
+            pass
+
+    page = HTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=page.handle_request, daemon=True).start()
+    ask = lambda **x: respond(engine, "POST", "/upload/remote", json.dumps(x).encode())
+    status, out = ask(name="far", url=f"http://127.0.0.1:{page.server_port}/x.csv")
+    assert status == 200 and json.loads(out)["nrows"] == 1 and engine.sql("SELECT b FROM far").collect() == [("x",)]
+    (tmp_path / "secret.csv").write_text("a\n1\n")
+    for url in (f"file://{tmp_path}/secret.csv", f"{tmp_path}/secret.csv", "ftp://x/y", "s3://b/k"):
+        assert ask(name="x", url=url)[0] == 500 and [m["name"] for m in engine.catalog.list()] == ["far"]
+    assert [ask(name="x")[0], ask(url="http://x")[0], ask(name="", url="")[0], ask(name="x", url=1)[0]] == [400] * 4
+
+
+def test_server_arguments_and_samples(engine, tmp_path):
+    from lodeframe.server import arguments, load_samples
+
+    got = arguments(["--expose", "--port-http", "9000", "--wdir", "/shared/x", "--samples", "s"])
+    assert (got.expose, got.port_http, got.wdir, got.samples) == (True, 9000, "/shared/x", "s")
+    folder = tmp_path / "s"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x\n1\n")
+    assert [len(load_samples(engine, str(folder))) for _ in range(2)] == [1, 0]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lodeframe.sources.catalog import Catalog
+
+    c = Catalog(spark)
+    c.spark = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(CatalogError):
+        c.folder  # noqa: B018
