@@ -537,6 +537,72 @@ def test_op10(spark, sf):
     assert all(r.toxic == ("nasty" in text[r.doc_id]) for r in got) and all(0 <= r.severity <= 2 for r in got)
 
 
+def test_op10_against_its_definition(spark, sf):
+    """The query's features, probabilities and limit by hand, from the fitted weights."""
+    from lodeframe.llm import toxicity as T
+    from lodeframe.llm.textbatch import runs
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = T.model(docs, labels)
+    assert len(m.keys) and m.cuts[1] > m.cuts[0]
+    weight = dict(zip(m.keys.tolist(), m.weights.tolist()))
+    texts = {x[0]: x[1] for x in ROWS}
+    import pyarrow as pa
+
+    of = lambda word: next(runs(pa.array([word])))
+    for r in T.scored(docs, m).collect():
+        counts = collections.Counter()
+        for w in re.findall(rb"[a-z0-9\x80-\xff]+", (texts[r.doc_id] or "").translate(LOW).encode()):
+            run = of(w.decode("latin-1"))
+            run = T.Run(np.frombuffer(w, np.uint8), np.array([0, len(w)]))
+            counts.update(T.features_of(run)[1].tolist())
+        z = sum(weight.get((k + i) % 2**64, 0) for k, n in counts.items() for i, least in enumerate(T.LEVELS) if n >= least)
+        above = [1 / (1 + math.exp(c - z)) for c in m.cuts]
+        assert r.severity == pytest.approx(sum(above)) and r.toxic == (above[0] >= m.least)
+
+
+def test_cumulative_link_likelihood():
+    from lodeframe.llm import toxicity as T
+
+    r = np.random.default_rng(3)
+    keys = np.arange(6, dtype=np.uint64)
+    true = np.array([2.0, 1.0, 0.5, 0, 0, 1.5])
+    rows = []
+    for _ in range(600):
+        at = np.flatnonzero(r.random(6) < 0.4)
+        score = true[at].sum() + r.logistic()
+        rows.append((at, int(score > 2) + int(score > 3.5)))
+    m = T.fit(keys, rows)
+    grade = np.array([g for _, g in rows])
+    own, col = np.repeat(np.arange(len(rows)), [len(h) for h, _ in rows]), np.concatenate([h for h, _ in rows])
+    at_fit, by_w, by_cuts = T.loss(m.weights, m.cuts, own, col, grade)
+    # the likelihood as it is defined, row by row
+    weight, by_hand = T.weighted(grade), 0.0
+    for (h, g), x in zip(rows, weight):
+        below = [1 / (1 + math.exp(m.weights[h].sum() - c)) for c in m.cuts]
+        by_hand -= x * math.log([below[0], below[1] - below[0], 1 - below[1]][g])
+    assert at_fit == pytest.approx(by_hand + T.L2 / 2 * float(m.weights @ m.weights))
+    # its gradient, and that the fit has found the minimum
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-5
+        assert by_w[i] == pytest.approx((T.loss(m.weights + step, m.cuts, own, col, grade)[0] - T.loss(m.weights - step, m.cuts, own, col, grade)[0]) / 2e-5, abs=1e-6)
+    for i in range(2):
+        step = np.eye(2)[i] * 1e-5
+        assert by_cuts[i] == pytest.approx((T.loss(m.weights, m.cuts + step, own, col, grade)[0] - T.loss(m.weights, m.cuts - step, own, col, grade)[0]) / 2e-5, abs=1e-6)
+    assert max(np.abs(by_w).max(), np.abs(by_cuts).max()) < 2e-3
+    for _ in range(50):
+        assert T.loss(m.weights + r.normal(size=6) * 0.1, m.cuts + r.normal(size=2) * 0.1, own, col, grade)[0] > at_fit - 1e-4
+    assert np.corrcoef(m.weights, true)[0, 1] > 0.95
+
+
+def test_limit_weighs_false_alarms():
+    from lodeframe.llm.toxicity import LEAST, limit
+
+    p, toxic = np.array([0.1, 0.2, 0.3, 0.9, 0.6, 0.25]), np.array([False, False, False, True, True, True])
+    assert 0.3 < limit(p, toxic) <= 0.6  # finding the one at 0.25 costs a false alarm of three
+    assert limit(p, toxic & False) == limit(p, toxic | True) == LEAST
+
+
 def test_ordinal_regression_on_held_out_rows(spark):
     from lodeframe.llm import toxicity
 
