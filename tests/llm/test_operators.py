@@ -96,13 +96,77 @@ def test_op1(spark, sf):
 def test_network_on_held_out_findings():
     from lodeframe.llm import secrets as S
 
-    x, y = S.labelled(1000, 77)
-    z = S.network().logits(x) >= S.network().threshold
-    assert z[y == 1].mean() > 0.93 and z[y == 0].mean() < 0.02
-    p = S.network().probabilities(x)
+    net = S.network()
+    x, y, shapes = S.labelled(1500, 77)
+    p = net.calibrated(net.logits(x), shapes)
+    hit = p >= net.threshold[shapes]
+    for k in range(2):  # each shape keeps its own recall
+        assert hit[(y == 1) & (shapes == k)].mean() > 0.93 and hit[(y == 0) & (shapes == k)].mean() < 0.02
+    assert not hit[shapes == 2].any() and net.threshold[2] > 1
     assert np.mean((p - y) ** 2) < 0.05 and abs(p.mean() - y.mean()) < 0.05
 
 
+def test_network_output_by_hand():
+    """Spans and probabilities of whole texts, one window at a time, as defined."""
+    from lodeframe.llm import secrets as S
+
+    net, r = S.network(), random.Random(8)
+    texts = [None, "", "plain words only", "x" * 5000]
+    for _ in range(40):
+        parts = [r.choice(["some words", "www1.thing.com/page", "key " + "".join(r.choices("abcXYZ0189_/", k=r.randint(16, 150))), "é ü", "token=abcdefgh12/Zx9Qw8Er7Ty6Ui5Op4As"]) for _ in range(6)]
+        texts.append(" ".join(parts))
+    got = S.scan_all(texts, net)
+    seen = 0
+    for t, (base, every, p) in zip(texts, got):
+        raw = S.narrow(t or "")
+        want = []
+        for a, b in S.pieces(raw, S.base_spans(raw)):
+            z = max(net.logits(S.encode(raw, [w]))[0] for w in S.windows(a, b))
+            k = S.shape(raw[a:b])
+            v = 1 / (1 + math.exp(-(net.scale[k] * z + net.shift[k])))
+            if abs(v - net.threshold[k]) > 1e-6 and v >= net.threshold[k]:
+                want.append((a, b, v))
+        assert [(a, b) for a, k, b in every if k == 3] == [(a, b) for a, b, _ in want] and p == pytest.approx([v for *_, v in want], abs=1e-5)
+        assert [x for x in every if x[1] != 3] == base
+        seen += len(want)
+    assert seen > 20
+
+
+def test_planted_secrets_of_unseen_shapes(spark):
+    """Keys of shapes that the generator doesn't make, put into documents; and the documents without them."""
+    import string
+
+    from lodeframe.llm import secrets as S
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    net = S.network(docs)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(1500).collect()]
+    r, alnum = random.Random(5), string.ascii_letters + string.digits
+    some = lambda chars, k: "".join(r.choices(chars, k=k))
+    shapes = [lambda: "glpat-" + some(alnum + "_-", 20), lambda: "SG." + some(alnum + "_-", 22) + "." + some(alnum + "_-", 43), lambda: "npm_" + some(alnum, 36), lambda: "5" + some(alnum, 50), lambda: "SK" + some("0123456789ABCDEF", 32), lambda: "home/user/app/config/" + some(alnum, 40)]
+    found = []
+    for i in range(900):
+        words, key = r.choice(texts).split(" ")[:60], shapes[i % 6]()
+        at = r.randrange(len(words) + 1)
+        t = " ".join([*words[:at], key, *words[at:]])
+        found.append(any(k == 3 and key[-10:] in t[a:b] for a, k, b in S.scan(t, net)[1]))
+    assert np.mean(found) > 0.93 and min(np.mean(found[i::6]) for i in range(6)) > 0.8
+    flagged = sum(len(p) for _, _, p in S.scan_all(texts, net))
+    assert flagged <= 3  # of 1,500 documents
+
+
+def test_findings_of_the_corpus_are_learnt_from(spark):
+    from lodeframe.llm import secrets as S
+
+    raw = f'a word token = "{"0a1b" * 10}" then AKIA{"Z9" * 8}, and secret:{"q" * 300} end'.encode()
+    got = S.surroundings(raw, S.base_spans(raw))
+    assert got[0] == ("a word ", "0a1b" * 10, '" then AKIAZ') and got[1][0].endswith('" then ') and got[1][2] == ", and secret"
+    assert [v for _, v, _ in got] == ["0a1b" * 10, "AKIA" + "Z9" * 8, "q" * 200]
+    docs = spark.createDataFrame([(i, raw.decode() + str(i)) for i in range(S.REAL + 50)], "doc_id long, text string")
+    found = S.findings_of(docs)
+    assert len(found) == S.REAL and found == S.findings_of(docs.repartition(7))
+
+
 def test_secrets_late_in_long_runs_are_found():
     import string
 
@@ -135,20 +199,14 @@ def test_what_patterns_leave_of_a_run_is_scanned():
     assert key not in S.redact(text, S.scan(text, S.network())[1]) and "qWzRtYp" not in S.redact(text, S.scan(text, S.network())[1])
 
 
-def test_candidates_of_long_runs_take_linear_time():
+def test_long_runs_and_many_findings_take_linear_time():
     from lodeframe.llm import secrets as S
 
     raw = b"q" * 2_000_000 + b" " + b"1-" * 1_000_000 + b" token=abcdefgh1 " * 20_000 + b"x1" * 20
     start = time.time()
     base = S.base_spans(raw)
-    assert len(base) == 20_000 and S.candidates(raw, base) == [(len(raw) - 40, len(raw))]
+    assert len(base) == 20_000 and len(S.pieces(raw, base)) == 3 and len(S.surroundings(raw, base)) == 20_000
     assert time.time() - start < 20
-    r = random.Random(4)
-    for _ in range(50):
-        raw = "".join(r.choice(["token=", "AKIA", "abcdefgh", "12345678", "0a1b2c3d" * 4, " ", "\n", "/"]) for _ in range(60)).encode()
-        base = S.base_spans(raw)
-        runs = [m.span() for m in re.finditer(rb"[A-Za-z0-9+/_.=-]{16,}", raw) if re.search(rb"[A-Za-z]", m[0]) and re.search(rb"[0-9]", m[0])]
-        assert S.candidates(raw, base) == [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e in base)]
 
 
 def test_op2(spark, sf):
