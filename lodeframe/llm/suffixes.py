@@ -4,11 +4,15 @@ Which suffixes: of each SPAN-byte string one K-byte substring is its anchor (the
 equal strings have equal anchors. Round 1 counts anchors' texts (keyed.py); strings whose anchor stands in one text only
 cannot repeat and drop out. Round 2 compares whole blocks (neighbouring strings with one anchor): a block that stands in a
 smaller doc_id is settled, and so is one whose anchor has no other block. Round 3 takes the suffixes of the first copy of
-each block that is left: the borders of repeats. Each batch of texts gets its suffix array: its
-suffixes in the order of the fingerprints of their first SPAN bytes (64 bits; equal strings are neighbours, which is what
-long matches need, and integers sort fast), with the least doc_id of each. Arrays are cut into ranges of the order, one
-task each, where a new array is merged into the family as equal-sized levels meet (sizes grow geometrically), and each
-batch is merge-scanned against the levels for matches that start in a smaller doc_id.
+each block that is left: the borders of repeats.
+
+The family: documents come in GENERATIONS of like size, by doc_id. Each batch of a generation's texts gets its suffix array:
+its suffixes in alphabetical order of their first PREFIX bytes, those alike in the order of the fingerprints of their first
+SPAN bytes, with the least doc_id of each string. (Alphabetical order to the end would carry SPAN bytes a suffix through
+each exchange instead of 16; what is asked of the order is that long matches are neighbours.) Suffixes are dealt to buckets
+by fingerprint. In each bucket a generation's arrays are merge-scanned against one another and against the levels that exist, for
+matches that start in a smaller doc_id; then they become a level themselves, and levels of one size merge, so that there are
+few. Levels are tables in the shared folder: a Family takes further batches whenever they come.
 
 Defined cases: null text is empty; a null doc_id counts as the largest; rows with one doc_id never remove each other's
 bytes; matches never cross rows; texts under SPAN bytes lose nothing; an empty table gives no rows.
@@ -31,9 +35,12 @@ from .textbatch import RUN_BYTES, Run, per_text, runs
 
 SPAN = 50
 K = 28
+PREFIX = 8
+#: Parts of the documents, by doc_id, that enter the family one after the other.
+GENERATIONS = 4
 NO_ID = np.iinfo(np.int64).max
-STATE = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-STATE_SQL = "kind int, batch long, bucket int, a binary, b binary, c binary"
+STATE = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("gen", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+STATE_SQL = "kind int, batch long, gen int, bucket int, a binary, b binary, c binary"
 
 
 def blocks(run: Run, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,6 +78,17 @@ def starts(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
     return np.repeat(p1 - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else p1
 
 
+#: Starts of strings in a run; their first PREFIX bytes as a number, fingerprints of SPAN bytes, doc_ids.
+Strings = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def strings_at(run: Run, p: np.ndarray, ids: np.ndarray) -> Strings:
+    first = np.zeros(len(p), U64)
+    for i in range(PREFIX):
+        first = (first << U64(8)) | run.data[p + i].astype(U64)
+    return p, first, run.hashes(p, p + SPAN), ids
+
+
 class Batch:
     """Some texts; recomputed from their bytes wherever the batch goes."""
 
@@ -133,13 +151,13 @@ class Pairs:
         whole = smaller[self.of] | (self.owner > self.least[self.of])
         return whole, ~whole & several[self.of]
 
-    def strings(self, blocks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each run: starts of the strings in these blocks, their fingerprints and doc_ids."""
+    def strings(self, blocks: np.ndarray) -> list["Strings"]:
+        """Of each run the strings in these blocks."""
         out = []
         for i, r in enumerate(self.runs):
             b = np.flatnonzero(blocks & (self.run == i))
             p = starts(self.p1[b], self.p2[b])
-            out.append((p, r.hashes(p, p + SPAN), np.repeat(self.owner[b], self.p2[b] - self.p1[b] + 1)))
+            out.append(strings_at(r, p, np.repeat(self.owner[b], self.p2[b] - self.p1[b] + 1)))
         return out
 
 
@@ -161,37 +179,50 @@ def _batch(row: dict, bits: int) -> tuple[Batch, np.ndarray]:
     return Batch(texts, bits), ids
 
 
-def _pass(bits: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, size = TaskContext.get().partitionId(), 0, 0
-        texts: list[Run] = []
-        ids: list[np.ndarray] = []
+def _pass(bits: int, buckets: int, bounds: list[int], batch_bytes: int):
+    """Batches of texts of one generation each (kind 0), and their anchors by range (kind 1)."""
 
-        def flush():
-            batch = (part << 24) + seq
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        held: dict[int, list[tuple[Run, np.ndarray]]] = {}
+        size: dict[int, int] = {}
+
+        def flush(gen: int):
+            nonlocal seq
+            batch, some = (part << 24) + seq, held.pop(gen)
+            seq += 1
+            size.pop(gen)
+            texts = [r for r, _ in some]
             b = Batch(texts, bits)
             n, cut = b.texts_with(), ranges(b.u, bits, buckets)
-            rows = [(0, batch, -1, *_state(texts, np.concatenate(ids)))]
-            rows += [(1, batch, i, pack(b.u[cut[i] : cut[i + 1]]), pack_small(n[cut[i] : cut[i + 1]]), None) for i in range(buckets) if cut[i + 1] > cut[i]]
-            texts.clear()
-            ids.clear()
+            rows = [(0, batch, gen, -1, *_state(texts, np.concatenate([x for _, x in some])))]
+            rows += [(1, batch, gen, i, pack(b.u[cut[i] : cut[i + 1]]), pack_small(n[cut[i] : cut[i + 1]]), None) for i in range(buckets) if cut[i + 1] > cut[i]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), STATE)], schema=STATE)
 
         for b in batches:
             own = b["doc_id"].fill_null(NO_ID).to_numpy()
             for r in runs(b["text"]):
-                texts.append(Run(r.data.copy(), r.offsets))
-                ids.append(own[r.lo : r.lo + r.n])
-                size += len(r.data)
-                if size >= BATCH_BYTES:
-                    yield flush()
-                    size, seq = 0, seq + 1
-        if texts:
-            yield flush()
+                mine = own[r.lo : r.lo + r.n]
+                gens = np.searchsorted(np.array(bounds, np.int64), mine)
+                for gen in np.unique(gens).tolist():
+                    held.setdefault(gen, []).append((chosen(r, gens == gen), mine[gens == gen]))
+                    size[gen] = size.get(gen, 0) + len(held[gen][-1][0].data)
+                    if size[gen] >= batch_bytes:
+                        yield flush(gen)
+        for gen in list(held):
+            yield flush(gen)
 
     return run
 
 
+def chosen(run: Run, some: np.ndarray) -> Run:
+    """A run of its own of some of a run's texts."""
+    if some.all():
+        return Run(run.data.copy(), run.offsets)
+    n = np.diff(run.offsets)
+    return Run(run.data[np.repeat(some, n)], np.concatenate([[0], np.cumsum(n[some])]))
+
+
 def _flagged(b: Batch, answers: list[dict]) -> np.ndarray:
     got = sorted((r for r in answers if r["kind"] == 1), key=lambda r: r["bucket"])
     flagged, begin = np.zeros(len(b.u), bool), 0
@@ -201,43 +232,71 @@ def _flagged(b: Batch, answers: list[dict]) -> np.ndarray:
     return flagged
 
 
-def _array(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A suffix array: distinct fingerprints in order, the least doc_id of each, and each string's place in it."""
-    f, owner = np.concatenate([x for _, x, _ in parts]), np.concatenate([x for _, _, x in parts])
-    order = np.argsort(f, kind="stable")
-    fs = f[order]
-    new = np.ones(len(fs), bool)
-    new[1:] = fs[1:] != fs[:-1]
-    first = np.flatnonzero(new)
-    place = np.empty(len(fs), np.int64)
+#: Distinct strings in the array's order: prefixes and fingerprints; and the least doc_id of each.
+Array = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def neighbours(first: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The array's order, and which of the strings in it differ from the one before: the others match it for SPAN bytes."""
+    order = np.lexsort((fp, first))
+    first, fp = first[order], fp[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (first[1:] != first[:-1]) | (fp[1:] != fp[:-1])
+    return order, new
+
+
+def _array(parts: list[Strings]) -> tuple[Array, np.ndarray]:
+    """A suffix array, and each string's place in it."""
+    first, fp, owner = (np.concatenate([x[i] for x in parts] or [np.zeros(0, np.int64)]) for i in (1, 2, 3))
+    order, new = neighbours(first, fp)
+    at = np.flatnonzero(new)
+    place = np.empty(len(fp), np.int64)
     place[order] = np.cumsum(new) - 1
-    return fs[first], np.minimum.reduceat(owner[order], first) if len(first) else owner, place
+    return (first[order][at], fp[order][at], np.minimum.reduceat(owner[order], at) if len(at) else owner), place
+
+
+def dealt(fp: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of an array's strings bucket by bucket, in the array's order, and the buckets' bounds."""
+    bucket = ((fp >> U64(40)) % U64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
+
+
+def packed(a: Array) -> tuple[bytes, bytes, bytes, bytes]:
+    own, place = np.unique(a[2], return_inverse=True)
+    return pack(a[0]), a[1].astype("<u8").tobytes(), pack(own), pack_small(place)
+
+
+def unpacked(first: bytes, fp: bytes, own: bytes, place: bytes) -> Array:
+    ids = unpack(own).view(np.int64)
+    return unpack(first), np.frombuffer(fp, "<u8").astype(U64), ids[unpack_small(place)] if len(ids) else ids
 
 
 ANSWER_SQL = "kind int, batch long, bucket int, size long, at binary, n binary"
 
 
 def _asked(bits: int, buckets: int, step: int):
-    """Step 2: the batch's pairs of anchor and block, with the least doc_id; step 3: its suffix array, cut into ranges."""
-    names = ["batch", "bucket", "a", "b", "c", "d"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    """Step 2: the batch's pairs of anchor and block by range, with the least doc_id; step 3: its suffix array by bucket."""
+    names = ["batch", "gen", "bucket", "a", "b", "c", "d"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(key: tuple, state: pa.Table, answers: pa.Table) -> pa.Table:
         rows, got = [], answers.to_pylist()
         for s in state.to_pylist():
             b, ids = _batch(s, bits)
             pairs = b.pairs(_flagged(b, got), ids)
-            if step == 2:
-                keys, least, cut = pairs.keys, pairs.least, ranges(pairs.keys, bits, buckets)
-            else:
-                keys, least, _ = _array(pairs.strings(pairs.settle(got)[1]))
-                cut = ranges(keys, 64, buckets)
+            if step == 3:
+                array, _ = _array(pairs.strings(pairs.settle(got)[1]))
+                by, cut = dealt(array[1], buckets)
+                rows += [(s["batch"], s["gen"], i, *packed(tuple(x[by[cut[i] : cut[i + 1]]] for x in array))) for i in range(buckets) if cut[i + 1] > cut[i]]
+                continue
+            keys, least, cut = pairs.keys, pairs.least, ranges(pairs.keys, bits, buckets)
             for i in range(buckets):
                 at = slice(cut[i], cut[i + 1])
                 if cut[i + 1] > cut[i]:
                     own, place = np.unique(least[at], return_inverse=True)
-                    fp = np.ascontiguousarray(pairs.fp[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() if step == 2 else b""
-                    rows.append((s["batch"], i, pack(keys[at]), pack(own), pack_small(place), fp))
+                    fp = np.ascontiguousarray(pairs.fp[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+                    rows.append((s["batch"], s["gen"], i, pack(keys[at]), pack(own), pack_small(place), fp))
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return run
@@ -275,47 +334,104 @@ def _answers(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], names=["kind", "batch", "bucket", "size", "at", "n"])
 
 
+def merged(arrays: list[Array]) -> Array:
+    """One array of several: neighbours that match become one, with the least doc_id."""
+    first, fp, ids = (np.concatenate([a[i] for a in arrays]) for i in range(3))
+    order, new = neighbours(first, fp)
+    at = np.flatnonzero(new)
+    return first[order][at], fp[order][at], np.minimum.reduceat(ids[order], at) if len(at) else ids
+
+
+def scanned(array: Array, level: Array) -> np.ndarray:
+    """A merge-scan: of each of the array's strings the least doc_id of the level's match, or NO_ID."""
+    n = len(array[0])
+    first, fp = (np.concatenate([array[i], level[i]]) for i in range(2))
+    order, new = neighbours(first, fp)  # array before level where they match
+    out = np.full(n, NO_ID)
+    at = np.flatnonzero(~new)
+    out[order[at - 1]] = level[2][order[at] - n]
+    return out
+
+
+LEVEL_SQL = "kind int, batch long, bucket int, size long, at binary, n binary, a binary, b binary, c binary, d binary"
+
+
+def _entered(key: tuple, new: pa.Table, levels: pa.Table) -> pa.Table:
+    """A bucket's new arrays, scanned against one another and the levels (kind 3: places and ids of strings that start in a
+    smaller doc_id than any of their batch), and merged (kind 4)."""
+    arrays = [unpacked(*x) for x in zip(*(new[c].to_pylist() for c in "abcd"))]
+    if not arrays:
+        return pa.Table.from_pylist([], LEVEL)
+    old = [unpacked(*x) for x in zip(*(levels[c].to_pylist() for c in "abcd"))]
+    own = merged(arrays)
+    bucket = new["bucket"][0].as_py()
+    low = own[2].copy()
+    for level in old:
+        np.minimum(low, scanned(own, level), out=low)
+    every = (own[0], own[1], low)
+    rows = []
+    for batch, a in zip(new["batch"].to_pylist(), arrays):
+        least = scanned(a, every)
+        at = np.flatnonzero(least < a[2])
+        rows.append({"kind": 3, "batch": batch, "bucket": bucket, "size": len(a[0]), "at": pack(at), "n": pack(least[at])})
+    rows.append({"kind": 4, "batch": -1, "bucket": bucket, "size": len(own[0]), **dict(zip("abcd", packed(own)))})
+    return pa.Table.from_pylist(rows, LEVEL)
+
+
+LEVEL = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("size", pa.int64()), *[(c, pa.binary()) for c in ("at", "n", "a", "b", "c", "d")]])
+
+
+def _joined(key: tuple, t: pa.Table) -> pa.Table:
+    one = merged([unpacked(*x) for x in zip(*(t[c].to_pylist() for c in "abcd"))])
+    return pa.Table.from_pylist([{"kind": 4, "batch": -1, "bucket": key[0].as_py(), "size": len(one[0]), **dict(zip("abcd", packed(one)))}], LEVEL)
+
+
 class Family:
-    """Levels of (fingerprints in order, least doc_id of each); two levels of like size merge into one."""
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, f: np.ndarray, ids: np.ndarray) -> None:
-        self.levels.append((f, ids))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (f1, d1), (f2, d2) = self.levels.pop(), self.levels.pop()
-            f, d = np.concatenate([f1, f2]), np.concatenate([d1, d2])
-            order = np.argsort(f, kind="stable")  # a merge: the sort finds the two runs
-            f, d = f[order], d[order]
-            first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-            self.levels.append((f[first], np.minimum.reduceat(d, first)))
-
-    def least(self, f: np.ndarray) -> np.ndarray:
-        out = np.full(len(f), NO_ID)
-        for level, ids in self.levels:
-            at = np.minimum(np.searchsorted(level, f), len(level) - 1)
-            out = np.where(level[at] == f, np.minimum(out, ids[at]), out)
-        return out
+    """Levels, largest first: (batches in it, table of a suffix array by bucket). Batches must come by rising doc_id: what
+    a batch's strings match in a level, or in it, in a smaller doc_id is what add() tells; older batches keep theirs."""
+
+    def __init__(self, spark):
+        self.levels: list[tuple[int, DataFrame]] = []
+        self.none = spark.createDataFrame([], LEVEL_SQL)
+
+    def add(self, arrays: DataFrame) -> DataFrame:
+        """(kind 3, batch, bucket, size, at, n) of arrays (batch, bucket, a, b, c, d), which make a new level."""
+        old = self.none
+        for _, level in self.levels:
+            old = old.union(level)
+        new = arrays.select("batch", "bucket", *"abcd").groupBy("bucket")
+        out = stored(new.cogroup(old.select("bucket", *"abcd").groupBy("bucket")).applyInArrow(_entered, LEVEL_SQL), plain=True)
+        self.levels.append((1, out.filter("kind = 4")))
+        while len(self.levels) > 1 and self.levels[-2][0] == self.levels[-1][0]:
+            (n, x), (m, y) = self.levels.pop(), self.levels.pop()
+            one = x.union(y).select("bucket", *"abcd").groupBy("bucket").applyInArrow(_joined, LEVEL_SQL)
+            self.levels.append((n + m, stored(one, plain=True)))
+        return out.filter("kind = 3").select(*[x.split()[0] for x in ANSWER_SQL.split(", ")])
+
+
+def every_suffix(docs: DataFrame, buckets: int) -> DataFrame:
+    """Arrays of all strings of docs (doc_id, text), for a family that goes on: nothing is left out beforehand, since what
+    comes later may repeat it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        for b in batches:
+            own = b["doc_id"].fill_null(NO_ID).to_numpy()
+            for r in runs(b["text"]):
+                size = np.diff(r.offsets)
+                text = np.flatnonzero(size >= SPAN)
+                p = starts(r.offsets[:-1][text], r.offsets[1:][text] - SPAN)
+                array, _ = _array([strings_at(r, p, np.repeat(own[r.lo : r.lo + r.n][text], size[text] - SPAN + 1))])
+                by, cut = dealt(array[1], buckets)
+                rows = [((part << 24) + seq, 0, i, *packed(tuple(x[by[cut[i] : cut[i + 1]]] for x in array))) for i in range(buckets) if cut[i + 1] > cut[i]]
+                seq += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4])], names=["batch", "gen", "bucket", *"abcd"])
 
-def _scanned(key: tuple, t: pa.Table) -> pa.Table:
-    """For each batch's suffixes of a range: places and ids of those that start in a smaller doc_id than any of the batch's."""
-    family = Family()
-    arrays = []
-    for a, b, c in zip(t["a"].to_pylist(), t["b"].to_pylist(), t["c"].to_pylist()):
-        f, ids = unpack(a), unpack(b).view(np.int64)[unpack_small(c)]
-        arrays.append((f, ids))
-        family.add(f, ids)
-    rows = []
-    for batch, bucket, (f, ids) in zip(t["batch"].to_pylist(), t["bucket"].to_pylist(), arrays):
-        low = family.least(f)
-        at = np.flatnonzero(low < ids)
-        rows.append((3, batch, bucket, len(f), pack(at), pack(low[at])))
-    return _answers(rows)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "batch long, gen int, bucket int, a binary, b binary, c binary, d binary")
 
 
-def _removed(bits: int):
+def _removed(bits: int, buckets: int):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(key: tuple, state: pa.Table, answers: pa.Table) -> pa.Table:
@@ -326,14 +442,14 @@ def _removed(bits: int):
             pairs = b.pairs(_flagged(b, got), ids)
             whole, first = pairs.settle(got)
             parts = pairs.strings(first)
-            f, least, place = _array(parts)
-            begin = 0
-            for r in sorted((r for r in got if r["kind"] == 3), key=lambda r: r["bucket"]):
-                at = unpack(r["at"]).astype(np.int64) + begin
-                least[at] = np.minimum(least[at], unpack(r["n"]).view(np.int64))
-                begin += r["size"]
+            (_, fp, least), place = _array(parts)
+            by, cut = dealt(fp, buckets)
+            for r in got:
+                if r["kind"] == 3:
+                    at = by[cut[r["bucket"]] + unpack(r["at"]).astype(np.int64)]
+                    least[at] = np.minimum(least[at], unpack(r["n"]).view(np.int64))
             at = done = 0
-            for i, (r, (p, _, owner)) in enumerate(zip(b.runs, parts)):
+            for i, (r, (p, _, _, owner)) in enumerate(zip(b.runs, parts)):
                 p = p[least[place[done : done + len(p)]] < owner]
                 done += len(owner)
                 all_ = np.flatnonzero(whole & (pairs.run == i))
@@ -360,22 +476,31 @@ def _removed(bits: int):
     return run
 
 
+def generations(docs: DataFrame, n: int) -> list[int]:
+    """The largest doc_ids of all generations but the last."""
+    found = docs.filter("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.02)
+    return sorted({int(x) for x in found})
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits, buckets = key_bits(scan_partitions(docs)), spread(docs)
-    state = stored(docs.mapInArrow(_pass(bits, buckets), STATE_SQL), plain=True)
-    texts = state.filter("kind = 0").select("batch", "a", "b", "c")
+    bounds = generations(docs, GENERATIONS)
+    state = stored(docs.mapInArrow(_pass(bits, buckets, bounds, BATCH_BYTES), STATE_SQL), plain=True)
+    texts = state.filter("kind = 0").select("batch", "gen", "a", "b", "c")
     asked = state.filter("kind = 1").select("bucket", "batch", "a", "b")
     answers = asked.groupBy("bucket").applyInArrow(_frequencies_small, "batch long, bucket int, size long, at binary, n binary, keys binary")
     answers = stored(answers.select(F.lit(1).alias("kind"), "batch", "bucket", "size", "at", F.lit(None).cast("binary").alias("n")), plain=True)
-    sent = "batch long, bucket int, a binary, b binary, c binary, d binary"
-    own = lambda: texts.select((F.col("batch") + 0).alias("batch"), "a", "b", "c").groupBy("batch")
+    sent = "batch long, gen int, bucket int, a binary, b binary, c binary, d binary"
+    own = lambda: texts.select((F.col("batch") + 0).alias("batch"), "gen", "a", "b", "c").groupBy("batch")
     pairs = own().cogroup(answers.groupBy("batch")).applyInArrow(_asked(bits, buckets, 2), sent)
-    both = answers.union(stored(pairs.groupBy("bucket").applyInArrow(_compared, ANSWER_SQL), plain=True))
-    arrays = own().cogroup(both.groupBy("batch")).applyInArrow(_asked(bits, buckets, 3), sent)
-    every = both.union(stored(arrays.groupBy("bucket").applyInArrow(_scanned, ANSWER_SQL), plain=True))
-    out = own().cogroup(every.groupBy("batch")).applyInArrow(_removed(bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    every = answers.union(stored(pairs.groupBy("bucket").applyInArrow(_compared, ANSWER_SQL), plain=True))
+    arrays = stored(own().cogroup(every.groupBy("batch")).applyInArrow(_asked(bits, buckets, 3), sent), plain=True)
+    family = Family(docs.sparkSession)
+    for gen in range(len(bounds) + 1):
+        every = every.union(family.add(arrays.filter(F.col("gen") == gen)))
+    out = own().cogroup(every.groupBy("batch")).applyInArrow(_removed(bits, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

@@ -456,6 +456,75 @@ def test_op7(spark, sf):
     assert bag(map(tuple, run(spark, "op7", sf))) == bag(want)
 
 
+def removed_by_hand(rows):
+    first: dict[bytes, object] = {}
+    want = []
+    for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
+        b, gone = (t or "").encode(), set()
+        for p in range(len(b) - 49):
+            if first.setdefault(b[p : p + 50], i) != i:
+                gone |= set(range(p, p + 50))
+        kept = bytes(c for p, c in enumerate(b) if p not in gone)
+        want.append((i, len(b), len(gone), sum(p - 1 not in gone for p in gone), hashlib.sha256(kept).hexdigest()))
+    return want
+
+
+def passages(n, seed):
+    """Documents of sentences that come again in others, whole, cut, and with changed ends."""
+    r = random.Random(seed)
+    pool = ["".join(r.choices("abc ", k=r.randint(20, 150))) for _ in range(12)]
+    own = lambda: "".join(r.choices("abcdefg ", k=r.randint(0, 80)))
+    part = lambda: (lambda s: s[r.randint(0, 20) : len(s) - r.randint(0, 20)])(r.choice(pool))
+    return [own() + "".join(r.choice([part, own])() for _ in range(r.randint(0, 6))) for _ in range(n)]
+
+
+def test_op7_over_many_batches(spark, monkeypatch):
+    from lodeframe.llm import suffixes as S
+
+    monkeypatch.setattr(S, "BATCH_BYTES", 1500)
+    rows = list(enumerate(passages(250, 4)))
+    random.Random(2).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(map(tuple, S.repeats(docs).collect()))
+    assert got == removed_by_hand(rows) and sum(r[2] > 0 for r in got) > 100
+
+
+def test_family_takes_batch_after_batch(spark):
+    """Each batch is held against brute force over all that came before; levels are stored, and few."""
+    from lodeframe.llm import suffixes as S
+
+    texts, family, first = passages(90, 9), S.Family(spark), {}
+    sizes = []
+    for lo in range(0, 90, 15):
+        rows = [(i, texts[i]) for i in range(lo, lo + 15)]
+        arrays = S.every_suffix(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5)
+        arrays = S.stored(arrays, plain=True)
+        answers = family.add(arrays).collect()
+        sizes.append([n for n, _ in family.levels])
+        found = {}
+        blobs = {(r.batch, r.bucket): S.unpacked(r.a, r.b, r.c, r.d) for r in arrays.collect()}
+        for r in answers:
+            a = blobs[r.batch, r.bucket]
+            at, low = S.unpack(r.at).astype(np.int64), S.unpack(r.n).view(np.int64)
+            for p, i in zip(at.tolist(), low.tolist()):
+                found[int(a[1][p]), int(a[2][p])] = i
+            assert (np.diff(a[0].astype(object)) >= 0).all()  # alphabetical
+        want = {}
+        for i, t in rows:
+            run = S.Run(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+            p = np.arange(max(0, len(t) - 49))
+            for q, fp in zip(p.tolist(), S.strings_at(run, p, p)[2].tolist()):
+                owner = first.setdefault(t[q : q + 50], i)
+                if owner != i:
+                    want[fp, i] = owner
+        assert found.keys() <= want.keys() and all(found[k] == want[k] for k in found)
+        least = {}
+        for (fp, i), owner in want.items():  # a batch answers for the least doc_id that has a string
+            least[fp] = min(least.get(fp, (i, owner)), (i, owner))
+        assert {(fp, i) for fp, (i, _) in least.items()} <= found.keys() | {k for k in want if any(b[2][b[1] == np.uint64(k[0])].min(initial=10**9) < k[1] for b in blobs.values())}
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2]]
+
+
 def test_op8(spark, sf):
     vectors = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.vec_id is not None and r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding)]
     want = []
