@@ -387,5 +387,22 @@ def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT doc_id, w, len(w) AS m FROM w),
+p AS (SELECT doc_id, w, m, unnest(range(greatest(m - 3, least(m, 1)))) AS i FROM n),
+s AS (SELECT DISTINCT doc_id, CASE WHEN m < 4 THEN array_to_string(w, ' ') ELSE w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] END AS g FROM p),
+size AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+sig AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS class FROM s GROUP BY doc_id),
+class AS (SELECT class, min(doc_id) AS first FROM sig GROUP BY class),
+u AS (SELECT s.doc_id, g, k FROM s JOIN size USING (doc_id) WHERE s.doc_id IN (SELECT first FROM class)),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id AND a.k * 100 >= 85 * b.k AND b.k * 100 >= 85 * a.k
+          GROUP BY a.doc_id, b.doc_id, a.k, b.k HAVING 100 * count(*) >= 85 * (a.k + b.k - count(*))),
+reach AS (SELECT first AS x, first AS y FROM class UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT n.doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_shingles, coalesce(component_id, n.doc_id) AS component_id
+FROM n LEFT JOIN size USING (doc_id) LEFT JOIN sig USING (doc_id) LEFT JOIN class USING (class) LEFT JOIN least ON least.x = class.first
+"""
+
 QUERIES = {"op5_jaccard": op5_jaccard}
-SQL: dict[str, str] = {}
+SQL = {"op5_jaccard": OP5_SQL}

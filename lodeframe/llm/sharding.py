@@ -51,5 +51,20 @@ def op6_rendezvous(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+OP6_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST((instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes
+      FROM documents),
+s AS (SELECT doc_id, key, CAST(len(bytes) + 16 AS BIGINT) AS size,
+             CAST(xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS BIGINT) AS text_crc32,
+             list_max(list_transform(range(40), lambda i: struct_pack(h := md5(key || '/' || i), i := i))).i AS shard,
+             list_max(list_transform(range(41), lambda i: struct_pack(h := md5(key || '/' || i), i := i))).i AS grown
+      FROM d, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(key), doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INT) AS grown_shard
+FROM s
+"""
+
 QUERIES = {"op6_rendezvous": op6_rendezvous}
-SQL: dict[str, str] = {}
+SQL = {"op6_rendezvous": OP6_SQL}

@@ -512,5 +512,21 @@ def op7_suffix_levels(spark, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+c AS (SELECT doc_id, n, lo, substr(h, 2 * lo + 1, 610) AS part FROM (SELECT doc_id, n, h, unnest(range(0, greatest(n - 49, 0), 256)) AS lo FROM d)),
+p AS (SELECT doc_id, lo + i AS p, substr(part, 2 * i + 1, 100) AS s FROM (SELECT doc_id, lo, part, unnest(range(least(256, n - 49 - lo))) AS i FROM c)),
+f AS (SELECT md5(s) AS s, min(doc_id) AS least, max(doc_id) AS most FROM p GROUP BY ALL HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT p.doc_id, p.p FROM p JOIN f ON md5(p.s) = f.s WHERE f.least < p.doc_id),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM hit),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM (SELECT * FROM r UNION ALL SELECT doc_id, -1, 0 FROM d)),
+t AS (SELECT doc_id, CAST(coalesce(sum(b - a) FILTER (a >= 0), 0) AS BIGINT) AS n_removed, CAST(count(*) FILTER (a >= 0) AS BIGINT) AS n_spans,
+             string_agg(substr(h, 2 * b + 1, 2 * (coalesce(next, n) - b)), '' ORDER BY b) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t JOIN d USING (doc_id)
+"""
+
 QUERIES = {"op7_suffix_levels": op7_suffix_levels}
-SQL: dict[str, str] = {}
+SQL = {"op7_suffix_levels": OP7_SQL}
