@@ -4,8 +4,8 @@ A text is the sequence of its lower-cased words' bytes, a blank between words an
 of its tokens, spelt out. Counts of all contexts of up to DEPTH symbols are taken over every training text. A context is a
 candidate if it is seen LEAST times, whatever the corpus' size, and stays if its next-symbol distribution diverges from its
 parent's (the context without its oldest symbol): N * KL above PENALTY nats for each symbol seen. Suffixes of contexts that
-stay stay too. Distributions are smoothed towards the parent's in proportion to the number of distinct symbols
-(Witten-Bell), the root's towards a uniform one. A place is scored by the longest suffix of what precedes it that is a state.
+stay stay too. Distributions are smoothed towards the parent's, which weighs BELIEF for each distinct symbol (one by one
+would be Witten-Bell's way, which trusts rare contexts too much), the root's towards a uniform one. A place is scored by the longest suffix of what precedes it that is a state.
 
 The tree grows with the corpus and is never in one place: contexts of a length are dealt out by their parent, so that a
 task holds what the divergence test compares. The base score needs each word's exact count, the tree's score the states
@@ -30,9 +30,12 @@ from .keyed import U64, pack, pack_small, ranges, unpack, unpack_small
 from .suffixes import _state, starts
 from .textbatch import LOWER, Run, mix, per_text, runs
 
-DEPTH = 6
+#: As many symbols as a 64-bit key holds beside the next one.
+DEPTH = 7
 LEAST = 2
-PENALTY = 2.0
+PENALTY = 1.0
+#: How much the parent's distribution weighs for each distinct symbol seen.
+BELIEF = 4
 SYMBOLS = 256
 #: Text of a batch: the longer, the fewer of its contexts are asked for again by other batches.
 BATCH_BYTES = 8 << 20
@@ -282,7 +285,7 @@ def _log10(keys: np.ndarray, root: np.ndarray, got: dict[int, dict], buckets: in
             own = k[mine] >> U64(8)
             many = np.diff(np.append(heads(own), len(own)))
             n, total, distinct = unpack_small(r["n"]), np.repeat(unpack_small(r["total"]), many), np.repeat(unpack_small(r["distinct"]), many)
-            p[mine] = np.where(distinct > 0, (n + distinct * p[mine]) / np.maximum(total + distinct, 1), p[mine])
+            p[mine] = np.where(distinct > 0, (n + BELIEF * distinct * p[mine]) / np.maximum(total + BELIEF * distinct, 1), p[mine])
     return np.log10(p[levels[0][2]])
 
 
@@ -324,9 +327,9 @@ class Tree:
         for c, total, distinct, k, n, stay in levels:
             own = np.repeat(np.arange(len(c)), distinct)
             keep = stay[own] if len(k) else np.zeros(0, bool)
-            weight = distinct / (total + distinct)
+            weight = BELIEF * distinct / (total + BELIEF * distinct)
             below = 10 ** self.log10(k[keep], len(self.levels))
-            p = (n[keep] + distinct[own[keep]] * below) / (total + distinct)[own[keep]]
+            p = (n[keep] + BELIEF * distinct[own[keep]] * below) / (total + BELIEF * distinct)[own[keep]]
             self.levels.append((c[stay], np.log10(weight[stay]), k[keep], np.log10(p)))
 
     def log10(self, keys: np.ndarray, depth: int = DEPTH) -> np.ndarray:

@@ -224,6 +224,57 @@ def test_op2(spark, sf):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_op2_verdict_by_hand(spark):
+    """Histograms, references, distances and limits from their definitions, with counters."""
+    from lodeframe.llm import quality as Q
+    from lodeframe.llm.textbatch import Run
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(900, None, "en"), (901, "", "fr"), (902, "a b c", None)]
+    key = lambda w: int(Run(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).hashes(np.array([0]), np.array([len(w.encode())])).view(np.int64)[0])
+    words = lambda t: WORD.findall((t or "").translate(LOW))
+
+    def classes(t):
+        kinds = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "blank": " \t", "line": "\n\v\f\r", "stop": ".,;:!?", "symbol": "#*$%&|<>", "punctuation": "\"'()-/@[]\\^_`{}~+="}
+        of = {c: k for k, cs in kinds.items() for c in cs}
+        return collections.Counter(of.get(c) or ("accent" if 0xC0 <= ord(c) < 0x180 else "other") for c in t or "")
+
+    def js(p, q):
+        out = 0.0
+        for k in p.keys() | q.keys():
+            a, b = p.get(k, 0.0), q.get(k, 0.0)
+            out += sum(x / 2 * math.log2(x / ((a + b) / 2)) for x in (a, b) if x)
+        return math.sqrt(max(0.0, min(1.0, out)))
+
+    refs = {}
+    for lang in {x for _, _, x in rows if x}:
+        n, c = collections.Counter(), collections.Counter()
+        for _, t, own in rows:
+            if own == lang:
+                n.update(words(t))
+                c.update(classes(t))
+        total = sum(n.values())
+        if total >= Q.LEAST:
+            common = sorted(n, key=lambda w: (-n[w], key(w)))[: Q.COMMON]
+            share = {w: n[w] / total for w in common}
+            refs[lang] = {k: v / sum(c.values()) for k, v in c.items()}, share | {None: 1 - sum(share.values())}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in Q.quality(docs, Q.references(docs)).collect()}
+    verdicts = collections.Counter()
+    for i, t, lang in rows:
+        r, w = got[i], words(t)
+        if lang not in refs or not w:
+            assert r.char_distance is None and r.word_distance is None and r.kept == (not r.base_failed)
+            continue
+        c = classes(t)
+        n = collections.Counter(x if x in refs[lang][1] else None for x in w)
+        char, word = js({k: v / sum(c.values()) for k, v in c.items()}, refs[lang][0]), js({k: v / len(w) for k, v in n.items()}, refs[lang][1])
+        assert r.char_distance == pytest.approx(char, abs=1e-6) and r.word_distance == pytest.approx(word, abs=1e-6)
+        bad = char > Q.CHAR_LIMIT + Q.CHAR_SLACK / math.sqrt(len(w)) or word > Q.WORD_LIMIT + Q.WORD_SLACK / math.sqrt(len(w))
+        assert r.kept == (not r.base_failed and not bad)
+        verdicts[r.base_failed, bad] += 1
+    assert len(refs) > 1 and verdicts[False, True] and verdicts[False, False] > 100
+
+
 def test_rare_languages_have_a_reference_of_their_own(spark):
     from lodeframe.llm import quality as Q
 
@@ -303,6 +354,50 @@ def test_tree_is_a_distribution():
         assert (10 ** t.log10(every)).sum() == pytest.approx(1)
 
 
+def test_op4_score_by_hand(spark):
+    """The tree from its definition, in dictionaries: contexts, divergence test, suffix closure, smoothing, longest state."""
+    from lodeframe.llm import suffixtree as S
+
+    r = random.Random(12)
+    vocabulary = ["".join(r.choices("abcde", k=r.randint(1, 5))) for _ in range(25)]
+    rows = [(i, r.choice([" ", "\n\t "]).join(r.choices(vocabulary, k=r.randint(0, 30))).upper()) for i in range(80)] + [(200, None), (None, "abc é abc")]
+    counts = collections.defaultdict(collections.Counter)  # context: next symbols
+    streams = {i: " ".join(WORD.findall((t or "").translate(LOW))).encode() + b"\n" for i, t in rows}
+    places = lambda i: [(b"\n" * S.DEPTH + streams[i][:p])[-S.DEPTH :] for p in range(len(streams[i]))]
+    for i in streams:
+        if not S.held_out([i])[0]:
+            for before, symbol in zip(places(i), streams[i]):
+                for d in range(S.DEPTH + 1):
+                    counts[before[S.DEPTH - d :]][symbol] += 1
+    total = {c: sum(n.values()) for c, n in counts.items()}
+    states = set()
+    for c, n in counts.items():
+        if c and total[c] >= S.LEAST:
+            gain = sum(k * math.log(k / total[c] / (counts[c[1:]][x] / total[c[1:]])) for x, k in n.items())
+            if gain > S.PENALTY * len(n):
+                states |= {c[j:] for j in range(len(c))}
+    root = counts[b""]
+
+    def p(context, symbol):
+        if not context:
+            return (root[symbol] + len(root) / S.SYMBOLS) / (sum(root.values()) + len(root))
+        if context not in states:
+            return p(context[1:], symbol)
+        n = counts[context]
+        return (n[symbol] + S.BELIEF * len(n) * p(context[1:], symbol)) / (total[context] + S.BELIEF * len(n))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in S.tree_scores(docs).collect()}
+    assert len(states) > 100 and got.keys() == streams.keys()
+    for i, stream in streams.items():
+        assert got[i] == pytest.approx(sum(math.log10(p(before, symbol)) for before, symbol in zip(places(i), stream)), abs=1e-9)
+
+
+def test_op4_gains_on_held_out_text(spark):
+    rows = queries()["op4_suffix_tree"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert rows.s / rows.n > rows.b / rows.n  # log10 a token
+
+
 def test_rare_contexts_are_states_in_any_corpus(spark):
     from lodeframe.llm import suffixtree as S
     from lodeframe.llm.textbatch import Run
