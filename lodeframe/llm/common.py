@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,21 +22,44 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs a folder that driver and executors share: set spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="lode-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Where tables made by stored() are.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def stored(df: DataFrame, *, plain: bool = False) -> DataFrame:
     """df, written to a new table in the shared folder and read again: computed once, lineage cut, survives lost executors.
+    The table goes when the session's process ends, or with discard().
 
     plain: the columns are blobs that are compressed already.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lode-{uuid.uuid4().hex}"
     writer = df.write.option("parquet.enable.dictionary", "false").option("compression", "uncompressed") if plain else df.write
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        fs, p = _file_system(df.sparkSession, _paths.pop(df))
+        fs.delete(p, True)
 
 
 def scan_partitions(df: DataFrame) -> int:

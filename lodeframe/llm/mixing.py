@@ -74,9 +74,16 @@ def take(sized: DataFrame, plan: DataFrame, order: list[str]) -> DataFrame:
     return at.withColumn("epochs", epochs).withColumn("part", part)
 
 
+def first_words(text: Column, words: Column) -> Column:
+    """The start of a text, up to the end of so many words (at least one, fewer than it has); nothing else is changed."""
+    blank = r"[\x20\x09-\x0D]+"
+    rest = F.element_at(F.split(F.regexp_replace(text, "^" + blank, ""), blank, (words + 1).cast("int")), -1)
+    return F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(rest)), blank + "$", "")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: a document once for each whole epoch, and once more, cut after its last
-    word taken (words then joined by single blanks), for a part. A document of no words comes once if its source gives
+    word taken, for a part. A document of no words comes once if its source gives
     any epoch or part at all."""
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), source_key().alias("skey"), word_count("text").alias("size"), key().alias("key"), F.xxhash64("text").alias("hash"))
@@ -85,8 +92,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     whole = F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.when(F.col("target") > 0, F.lit(1)).otherwise(F.lit(0)))
     copies = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when((F.col("part") > 0) & (F.col("size") > 0), F.array("part")).otherwise(F.expr("array()").cast("array<bigint>")))
     t = t.withColumn("words", F.explode(copies))
-    cut = F.array_join(F.slice(F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.lit(1), F.col("words").cast("int"))), " ")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("row.text"))
+    text = F.when(F.col("words") < F.col("size"), first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
     t = t.withColumn("text", text)
     out = {c: F.col("row").getField(c) for c in columns} | {"text": F.col("text")}
     if "n_chars" in columns:

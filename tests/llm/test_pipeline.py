@@ -60,6 +60,16 @@ def test_the_mix_is_what_the_operator_takes(spark, sf):  # noqa: F811
         assert abs(got[None if r.skey == "1" else r.skey[1:]] - r.target) <= 1
 
 
+def test_cut_documents_keep_their_lines(spark):
+    from lodeframe.llm.mixing import first_words
+    from pyspark.sql import functions as F
+
+    texts = [" one\n two\tthree  \n", "a b", "x\n\ny\r\nz é w", "long " * 5000]
+    rows = [(t, n) for t in texts for n in range(1, min(len(t.split()), 6))] + [(texts[3], 4999)]
+    for r in spark.createDataFrame(rows, "t string, n long").withColumn("got", first_words(F.col("t"), F.col("n"))).collect():
+        assert r.t.startswith(r.got) and len(re.findall(r"[^\x20\x09-\x0D]+", r.got)) == r.n and r.got == r.got.rstrip(" \t\n\v\f\r")
+
+
 def test_whole_pipeline(spark, sf):  # noqa: F811
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and all(1 <= r.length <= 1024 for r in rows)
