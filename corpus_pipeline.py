@@ -10,7 +10,7 @@ copies of each other, so that one stays after near_duplicates; further columns p
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.llm import jaccard, mixing, packing, secrets, toxicity
-from lodeframe.llm.common import stored, table
+from lodeframe.llm.common import discard, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
