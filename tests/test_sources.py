@@ -179,3 +179,25 @@ def test_a_cluster_needs_a_shared_folder(spark):
     c.spark = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(CatalogError):
         c.folder  # noqa: B018
+
+
+def test_upload_client(engine, tmp_path, capsys, monkeypatch):
+    import io
+    import threading
+    from types import SimpleNamespace
+
+    from lodeframe import ingest_cli
+    from lodeframe.server import serve
+
+    server = serve(engine, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "first.csv").write_text("a\n1\n")
+    (tmp_path / "second.csv").write_text("a\nx\n")
+    monkeypatch.setattr(ingest_cli.sys, "stdin", SimpleNamespace(buffer=io.BytesIO(b"b\n2.5\n")))
+    port = str(server.server_address[1])
+    ingest_cli.main(["--port", port, str(tmp_path / "up"), str(tmp_path / "second.csv")])
+    ingest_cli.main(["--port", port])
+    server.shutdown()
+    assert [m["name"] for m in engine.catalog.list()] == ["first", "second", "standard_input_data"]
+    assert [json.loads(x)["nrows"] for x in capsys.readouterr().out.splitlines()] == [1, 1, 1]
