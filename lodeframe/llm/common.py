@@ -38,27 +38,29 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def stored(df: DataFrame, *, plain: bool = False) -> DataFrame:
+def stored(df: DataFrame, *, plain: bool = False, by: str | None = None) -> DataFrame:
     """df, written to a new table in the shared folder and read again: computed once, lineage cut, survives lost executors.
     The table goes when the session's process ends, or with discard().
 
-    plain: the columns are blobs that are compressed already.
+    plain: the columns are blobs that are compressed already. by: a column whose values are folders of their own, so that
+    discard() can take one of them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lode-{uuid.uuid4().hex}"
     writer = df.write.option("parquet.enable.dictionary", "false").option("compression", "uncompressed") if plain else df.write
     fs, p = _file_system(spark, path)
     fs.deleteOnExit(p)
-    writer.parquet(path)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing will read again."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Deletes stored tables that nothing will read again, or the part of each ("column=value") that nothing will."""
     for df in tables:
-        fs, p = _file_system(df.sparkSession, _paths.pop(df))
+        path = f"{_paths[df]}/{part}" if part else _paths.pop(df)
+        fs, p = _file_system(df.sparkSession, path)
         fs.delete(p, True)
 
 

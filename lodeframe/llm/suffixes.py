@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan_partitions, spread, stored, table
+from .common import discard, scan_partitions, spread, stored, table
 from .jaccard import _frequencies
 from .keyed import BATCH_BYTES, U64, key_bits, pack, pack_small, ranges, unpack, unpack_small
 from .textbatch import RUN_BYTES, Run, per_text, runs
@@ -189,7 +189,7 @@ def _pass(bits: int, buckets: int, bounds: list[int], batch_bytes: int):
 
         def flush(gen: int):
             nonlocal seq
-            batch, some = (part << 24) + seq, held.pop(gen)
+            batch, some = (part << 32) + seq * GENERATIONS + gen, held.pop(gen)
             seq += 1
             size.pop(gen)
             texts = [r for r, _ in some]
@@ -387,7 +387,7 @@ def _joined(key: tuple, t: pa.Table) -> pa.Table:
 
 
 class Family:
-    """Levels, largest first: (batches in it, table of a suffix array by bucket). Batches must come by rising doc_id: what
+    """Levels, largest first: (batches in it, stored table whose rows of kind 4 are a suffix array by bucket). Batches must come by rising doc_id: what
     a batch's strings match in a level, or in it, in a smaller doc_id is what add() tells; older batches keep theirs."""
 
     def __init__(self, spark):
@@ -398,14 +398,15 @@ class Family:
         """(kind 3, batch, bucket, size, at, n) of arrays (batch, bucket, a, b, c, d), which make a new level."""
         old = self.none
         for _, level in self.levels:
-            old = old.union(level)
+            old = old.unionByName(level.filter("kind = 4"))
         new = arrays.select("batch", "bucket", *"abcd").groupBy("bucket")
-        out = stored(new.cogroup(old.select("bucket", *"abcd").groupBy("bucket")).applyInArrow(_entered, LEVEL_SQL), plain=True)
-        self.levels.append((1, out.filter("kind = 4")))
+        out = stored(new.cogroup(old.select("bucket", *"abcd").groupBy("bucket")).applyInArrow(_entered, LEVEL_SQL), plain=True, by="kind")
+        self.levels.append((1, out))
         while len(self.levels) > 1 and self.levels[-2][0] == self.levels[-1][0]:
             (n, x), (m, y) = self.levels.pop(), self.levels.pop()
-            one = x.union(y).select("bucket", *"abcd").groupBy("bucket").applyInArrow(_joined, LEVEL_SQL)
-            self.levels.append((n + m, stored(one, plain=True)))
+            both = x.unionByName(y).filter("kind = 4").select("bucket", *"abcd")
+            self.levels.append((n + m, stored(both.groupBy("bucket").applyInArrow(_joined, LEVEL_SQL), plain=True, by="kind")))
+            discard(x, y, part="kind=4")  # answers of theirs stay
         return out.filter("kind = 3").select(*[x.split()[0] for x in ANSWER_SQL.split(", ")])
 
 
@@ -487,19 +488,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits, buckets = key_bits(scan_partitions(docs)), spread(docs)
     bounds = generations(docs, GENERATIONS)
-    state = stored(docs.mapInArrow(_pass(bits, buckets, bounds, BATCH_BYTES), STATE_SQL), plain=True)
+    state = stored(docs.mapInArrow(_pass(bits, buckets, bounds, BATCH_BYTES), STATE_SQL), plain=True, by="kind")
     texts = state.filter("kind = 0").select("batch", "gen", "a", "b", "c")
     asked = state.filter("kind = 1").select("bucket", "batch", "a", "b")
     answers = asked.groupBy("bucket").applyInArrow(_frequencies_small, "batch long, bucket int, size long, at binary, n binary, keys binary")
     answers = stored(answers.select(F.lit(1).alias("kind"), "batch", "bucket", "size", "at", F.lit(None).cast("binary").alias("n")), plain=True)
+    discard(state, part="kind=1")
     sent = "batch long, gen int, bucket int, a binary, b binary, c binary, d binary"
-    own = lambda: texts.select((F.col("batch") + 0).alias("batch"), "gen", "a", "b", "c").groupBy("batch")
+    own = lambda gen=None: texts.filter(F.lit(True) if gen is None else F.col("gen") == gen).select((F.col("batch") + 0).alias("batch"), "gen", "a", "b", "c").groupBy("batch")
     pairs = own().cogroup(answers.groupBy("batch")).applyInArrow(_asked(bits, buckets, 2), sent)
     every = answers.union(stored(pairs.groupBy("bucket").applyInArrow(_compared, ANSWER_SQL), plain=True))
-    arrays = stored(own().cogroup(every.groupBy("batch")).applyInArrow(_asked(bits, buckets, 3), sent), plain=True)
-    family = Family(docs.sparkSession)
+    family, settled = Family(docs.sparkSession), every
     for gen in range(len(bounds) + 1):
-        every = every.union(family.add(arrays.filter(F.col("gen") == gen)))
+        mine = settled.filter(F.pmod("batch", F.lit(GENERATIONS)) == gen).groupBy("batch")
+        every = every.union(family.add(own(gen).cogroup(mine).applyInArrow(_asked(bits, buckets, 3), sent)))
     out = own().cogroup(every.groupBy("batch")).applyInArrow(_removed(bits, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
