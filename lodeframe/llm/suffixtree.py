@@ -25,17 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, stored, table
+from .common import discard, spread, stored, table
 from .keyed import U64, pack, pack_small, ranges, unpack, unpack_small
 from .suffixes import _state, starts
 from .textbatch import LOWER, Run, mix, per_text, runs
 
-#: As many symbols as a 64-bit key holds beside the next one.
-DEPTH = 7
+#: A 64-bit key holds seven symbols beside the next one; the seventh would more than double what is exchanged.
+DEPTH = 6
 LEAST = 2
-PENALTY = 1.0
+PENALTY = 0.5
 #: How much the parent's distribution weighs for each distinct symbol seen.
-BELIEF = 4
+BELIEF = 5
 SYMBOLS = 256
 #: Text of a batch: the longer, the fewer of its contexts are asked for again by other batches.
 BATCH_BYTES = 8 << 20
@@ -408,19 +408,21 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     """Scores of every row of docs (doc_id, text); rows whose crc32(doc_id as text) mod 5 is not 1 are learnt from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = spread(docs)
-    state = stored(docs.mapInArrow(_pass(buckets), STATE_SQL), plain=True)
+    state = stored(docs.mapInArrow(_pass(buckets), STATE_SQL), plain=True, by="kind")
     totals = state.filter("kind = 0").agg(F.sum("tokens").alias("t")).first()
     n = totals["t"] or 0
     asked = state.filter("kind = 1").select("bucket", "batch", "a", "b")
     answers = stored(asked.groupBy("bucket").applyInArrow(_word_counts, "batch long, bucket int, n binary, known long"), plain=True)
+    discard(state, part="kind=1")
     vocabulary = answers.agg(F.sum("known")).first()[0] or 0
     contexts = state.filter("kind = 2").select("bucket", "batch", "a", "b")
-    tree = stored(contexts.select("bucket", "a", "b").groupBy("bucket").applyInArrow(_contexts(buckets), TREE_SQL), plain=True)
+    tree = built = stored(contexts.select("bucket", "a", "b").groupBy("bucket").applyInArrow(_contexts(buckets), TREE_SQL), plain=True)
     first = tree.filter("bucket = 0").select("k", "n").first()  # SYMBOLS counts at most
     root = smoothed_root(unpack(first["k"]), unpack_small(first["n"])) if first else smoothed_root(np.zeros(0), np.zeros(0))
     tree = tree.filter("bucket > 0")
     suffixes = tree.select("bucket", "c", "stay").mapInArrow(_suffixes(buckets), "bucket int, c long").distinct()
     states = stored(tree.groupBy("bucket").cogroup(suffixes.groupBy("bucket")).applyInArrow(_states, TREE_SQL), plain=True)
+    discard(built)
     found = contexts.select("bucket", "batch", "a").groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(_state_counts, "batch long, bucket int, n binary, total binary, distinct binary")
     none = F.lit(None).cast("binary")
     answers = answers.select("batch", "bucket", "n", none.alias("total"), none.alias("distinct")).union(found)
