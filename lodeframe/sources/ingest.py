@@ -33,13 +33,17 @@ def parsed(c: Column, kind: str) -> Column:
     return F.coalesce(c, F.lit("")) if kind == "string" else F.lit(None).cast("string")
 
 
+#: A bit for each type, so that one aggregate gathers all that a column's texts are of.
+BITS = {k: 1 << i for i, k in enumerate((*KINDS, "null"))}
+
+
 def kind_of(c: Column) -> Column:
-    """The first type that a text is of."""
-    out = F.when(c.isNull() | (c == ""), F.lit("null"))
+    """The bit of the first type that a text is of."""
+    out = F.when(c.isNull() | (c == ""), F.lit(BITS["null"]))
     for k in KINDS[:-1]:
         fits = parsed(c, k).isNotNull()
-        out = out.when(fits | c.rlike(NOT_FINITE) if k == "float" else fits, F.lit(k))
-    return out.otherwise(F.lit("string"))
+        out = out.when(fits | c.rlike(NOT_FINITE) if k == "float" else fits, F.lit(BITS[k]))
+    return out.otherwise(F.lit(BITS["string"]))
 
 
 def decide(seen: set[str]) -> str:
@@ -52,14 +56,15 @@ def decide(seen: set[str]) -> str:
 
 
 def infer(texts: DataFrame) -> list[tuple[str, bool]]:
-    """Type and nullability of each column, from all rows in one pass."""
-    flags = [F.max(F.when(kind_of(F.col(f"`{c}`")) == k, 1).otherwise(0)).alias(f"{i}_{k}") for i, c in enumerate(texts.columns) for k in (*KINDS, "null")]
-    r = texts.agg(F.count(F.lit(1)).alias("n"), *flags).first()
-    if not r["n"]:
+    """Type and nullability of each column, from all rows in one pass: values are judged one after the other, so that the
+    generated code stays small whatever the number of columns."""
+    values = texts.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in texts.columns])))
+    found = {r["pos"]: r["bits"] for r in values.groupBy("pos").agg(F.bit_or(kind_of(F.col("col"))).alias("bits")).collect()}  # a row a column
+    if not found:
         raise IngestError("no rows: types can't be inferred")
     out = []
     for i in range(len(texts.columns)):
-        seen = {k for k in (*KINDS, "null") if r[f"{i}_{k}"]}
+        seen = {k for k, bit in BITS.items() if found[i] & bit}
         out.append((decide(seen), "null" in seen))
     return out
 
