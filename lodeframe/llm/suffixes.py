@@ -363,15 +363,15 @@ def _entered(key: tuple, new: pa.Table, levels: pa.Table) -> pa.Table:
     if not arrays:
         return pa.Table.from_pylist([], LEVEL)
     old = [unpacked(*x) for x in zip(*(levels[c].to_pylist() for c in "abcd"))]
-    own = merged(arrays)
+    own, place = _array([(a[0], *a) for a in arrays])  # all of them in one scan
     bucket = new["bucket"][0].as_py()
     low = own[2].copy()
     for level in old:
         np.minimum(low, scanned(own, level), out=low)
-    every = (own[0], own[1], low)
-    rows = []
+    rows, begin = [], 0
     for batch, a in zip(new["batch"].to_pylist(), arrays):
-        least = scanned(a, every)
+        least = low[place[begin : begin + len(a[0])]]
+        begin += len(a[0])
         at = np.flatnonzero(least < a[2])
         rows.append({"kind": 3, "batch": batch, "bucket": bucket, "size": len(a[0]), "at": pack(at), "n": pack(least[at])})
     rows.append({"kind": 4, "batch": -1, "bucket": bucket, "size": len(own[0]), **dict(zip("abcd", packed(own)))})
