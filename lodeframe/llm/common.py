@@ -64,6 +64,12 @@ def discard(*tables: DataFrame, part: str = "") -> None:
         fs.delete(p, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that have ended: Spark removes them when the driver collects garbage, which a
+    driver with little to do puts off for half an hour."""
+    spark._jvm.System.gc()
+
+
 def scan_partitions(df: DataFrame) -> int:
     """Partitions of the scan under df: they follow the input's size."""
     return max(1, df.rdd.getNumPartitions())

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, spread, stored, table
+from .common import discard, spread, stored, swept, table
 from .keyed import U64, pack, pack_small, ranges, unpack, unpack_small
 from .suffixes import _state, starts
 from .textbatch import LOWER, Run, mix, per_text, runs
@@ -368,17 +368,20 @@ def _scored(root: np.ndarray, n_tokens: int, vocabulary: int, buckets: int):
             count = np.concatenate([unpack_small(r["n"]) for r in got])
             log = np.log10(count + 0.5)
             end = int(np.searchsorted(u, END_KEY))
-            coded = [pd.factorize(t.keys) for t in tokens]
-            keys = np.unique(np.concatenate([x for _, x in coded]))
-            p = _log10(keys, root, tree, buckets)
-            at = 0
-            for r, t, (codes, uniq) in zip(batch, tokens, coded):
+            codes, uniq = pd.factorize(np.concatenate([t.keys for t in tokens]))  # all places at once: one hash table, one sort
+            for t in tokens:
+                del t.keys
+            order, p = np.argsort(uniq), np.empty(len(uniq))
+            p[order] = _log10(uniq[order], root, tree, buckets)
+            at = begin = 0
+            for r, t in zip(batch, tokens):
                 place = np.searchsorted(u, t.words)
                 mine = ids[at : at + r.n].tolist()
                 at += r.n
                 n = np.diff(t.bounds) + 1
                 columns = [mine, held_out(mine).tolist(), n.tolist(), (per_text(count[place] > 0, t.bounds) + (count[end] > 0)).tolist(), [n_tokens] * r.n]
-                columns += [(per_text(log[place], t.bounds) + log[end] - n * whole).tolist(), per_text(p[np.searchsorted(keys, uniq)][codes], t.at).tolist()]
+                columns += [(per_text(log[place], t.bounds) + log[end] - n * whole).tolist(), per_text(p[codes[begin : begin + t.at[-1]]], t.at).tolist()]
+                begin += int(t.at[-1])
                 for column, x in zip(out, columns):
                     column += x
         return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=names)
@@ -414,6 +417,7 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     asked = state.filter("kind = 1").select("bucket", "batch", "a", "b")
     answers = stored(asked.groupBy("bucket").applyInArrow(_word_counts, "batch long, bucket int, n binary, known long"), plain=True)
     discard(state, part="kind=1")
+    swept(docs.sparkSession)
     vocabulary = answers.agg(F.sum("known")).first()[0] or 0
     contexts = state.filter("kind = 2").select("bucket", "batch", "a", "b")
     tree = built = stored(contexts.select("bucket", "a", "b").groupBy("bucket").applyInArrow(_contexts(buckets), TREE_SQL), plain=True)
@@ -423,6 +427,7 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     suffixes = tree.select("bucket", "c", "stay").mapInArrow(_suffixes(buckets), "bucket int, c long").distinct()
     states = stored(tree.groupBy("bucket").cogroup(suffixes.groupBy("bucket")).applyInArrow(_states, TREE_SQL), plain=True)
     discard(built)
+    swept(docs.sparkSession)
     found = contexts.select("bucket", "batch", "a").groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(_state_counts, "batch long, bucket int, n binary, total binary, distinct binary")
     none = F.lit(None).cast("binary")
     answers = answers.select("batch", "bucket", "n", none.alias("total"), none.alias("distinct")).union(found)
