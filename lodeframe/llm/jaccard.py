@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import WORD_RE, met, scan_partitions, spread, stored, table
 from .components import components
 from .keyed import BATCH_BYTES, U64, key_bits, pack, ranges, unpack
-from .textbatch import Run, mix, runs, windows
+from .textbatch import Run, lean, lean_cogroup, lean_group, mix, runs, windows
 
 #: op5's contract: words in a shingle, and the threshold in hundredths.
 SHINGLE, PERCENT = 4, 85
@@ -279,7 +279,7 @@ def _bitmap(classes: DataFrame) -> tuple[int, np.ndarray]:
 def _matched(filled: DataFrame, tokens: int, percent: int) -> DataFrame:
     """(a, b) links of cells (part, chunk, asks, c, label, s) of so many tokens, stored."""
     bucket = F.pmod(F.xxhash64("part", "chunk"), F.lit(tokens // TASK_TOKENS + 1))
-    return stored(filled.select("part", "chunk", "asks", "c", "label", "s").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_asked(percent, SUB), "a long, b long"))
+    return stored(filled.select("part", "chunk", "asks", "c", "label", "s").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lean_group(_asked(percent, SUB)), "a long, b long"))
 
 
 def shared(posts: DataFrame, salts: int) -> DataFrame:
@@ -336,17 +336,17 @@ def judged(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     component, named by a class. A null doc_id comes back as the largest long."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "mark")
     bits, buckets = key_bits(scan_partitions(docs)), spread(docs)
-    state = stored(docs.mapInArrow(_pass(k, bits, buckets, BATCH_BYTES), STATE_SQL), plain=True)
-    answers = state.filter("kind = 1").select("bucket", "batch", "a", "b").groupBy("bucket").applyInArrow(_frequencies, "batch long, bucket int, size long, at binary, n binary, keys binary")
+    state = stored(docs.mapInArrow(lean(_pass(k, bits, buckets, BATCH_BYTES)), STATE_SQL), plain=True)
+    answers = state.filter("kind = 1").select("bucket", "batch", "a", "b").groupBy("bucket").applyInArrow(lean_group(_frequencies), "batch long, bucket int, size long, at binary, n binary, keys binary")
     own = state.filter("kind = 0").select((F.col("batch") + 0).alias("batch"), "a", "b", "c", "d")
-    posts = own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_postings(percent), "key long, c long, n long, pos long")
+    posts = own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lean_cogroup(_postings(percent)), "key long, c long, n long, pos long")
     posts = shared(stored(posts.groupBy("key", "c").agg(F.first("n").alias("n"))), buckets)
     classes = stored(posts.select("c").distinct())
     width, words = _bitmap(classes)
-    sets = docs.select("text").mapInArrow(_sets(k, width, words), "c long, s binary")
+    sets = docs.select("text").mapInArrow(lean(_sets(k, width, words)), "c long, s binary")
     sets = stored(sets.join(classes, "c", "left_semi").groupBy("c").agg(F.first("s").alias("s")))
     label = links_of(posts, sets, percent, buckets)
-    rows = state.filter("kind = 0").select("a", "b", "c", "e").mapInArrow(_unrolled, "doc_id long, n long, c long, mark long")
+    rows = state.filter("kind = 0").select("a", "b", "c", "e").mapInArrow(lean(_unrolled), "doc_id long, n long, c long, mark long")
     return met(rows, label.select(F.col("node").alias("c"), "label"), "c", buckets, "left").withColumn("label", F.coalesce("label", "c"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prefix_sums, stored, table
-from .textbatch import Run, runs
+from .textbatch import Run, lean, runs
 
 SIZE = 1024
 END_ID = 2
@@ -198,7 +198,7 @@ def _pieces(path: str, size: int, end: int):
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END_ID) -> DataFrame:
     """Pieces of every row's ids. path: a tokenizer file."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path or tokenizer_path(), size, end), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_pieces(path or tokenizer_path(), size, end)), schema)
 
 
 class Plan:
@@ -398,7 +398,7 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
     hashed = hashed.join(F.broadcast(cut.sparkSession.createDataFrame(digits, "length long, digits int")), "length")
     ranked = prefix_sums(hashed, ["length"], [F.col(c) for c in ("h", "doc_id", "piece", "start", "ids_crc32")], F.expr("substring(h, 1, digits)"), F.lit(1).cast("long"), "rank")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.select(*cut.columns, "rank").mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return ranked.select(*cut.columns, "rank").mapInArrow(lean(run), f"{fields}, sequence_id long, offset long")
 
 
 def op9_best_fit(spark, sf_dir: str) -> DataFrame:

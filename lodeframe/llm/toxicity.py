@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .textbatch import LOWER, Run, mix, runs
+from .textbatch import LOWER, Run, lean, mix, runs
 
 LABELLED = 1500
 FEATURES = 512
@@ -135,7 +135,7 @@ def selected(rows: DataFrame) -> np.ndarray:
     if not n["toxic"] or not n["other"]:
         return np.zeros(0, np.uint64)
     toxic, other = float(n["toxic"]), float(n["other"])
-    counts = rows.mapInArrow(_features, "grade int, key long").groupBy("key").agg(F.sum((F.col("grade") > 0).cast("int")).alias("pos"), F.sum((F.col("grade") == 0).cast("int")).alias("neg"))
+    counts = rows.mapInArrow(lean(_features), "grade int, key long").groupBy("key").agg(F.sum((F.col("grade") > 0).cast("int")).alias("pos"), F.sum((F.col("grade") == 0).cast("int")).alias("neg"))
     p, q = F.col("pos") / toxic, F.col("neg") / other
     some = counts.filter(F.col("pos") + F.col("neg") >= SEEN).filter(p > TIMES * (q + 0.5 / (toxic + other)))
     gap = (p - q) / F.sqrt((p + 1 / toxic) / toxic + q / other)
@@ -205,7 +205,7 @@ def model(docs: DataFrame, labels: DataFrame) -> Model:
     keys = selected(joined.filter("not last").select("grade", "text"))
     if not len(keys):
         return NOTHING
-    got = joined.mapInArrow(_places(keys), "doc_id long, grade int, last boolean, at binary").orderBy("doc_id").collect()  # 2 * LABELLED rows of FEATURES places at most
+    got = joined.mapInArrow(lean(_places(keys)), "doc_id long, grade int, last boolean, at binary").orderBy("doc_id").collect()  # 2 * LABELLED rows of FEATURES places at most
     rows = [(np.frombuffer(r["at"], "<u2").astype(np.int64), r["grade"], r["last"]) for r in got]
     m = fit(keys, [r[:2] for r in rows if not r[2]])
     seen = [r for r in rows if r[2]]
@@ -222,7 +222,7 @@ def scored(docs: DataFrame, m: Model) -> DataFrame:
                 severity, above = m.score(r)
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(r.lo, r.n), pa.array(severity), pa.array(np.rint(severity).astype(np.int32)), pa.array(above >= m.least)], names=["doc_id", "severity", "grade", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, severity double, grade int, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, m: Model) -> DataFrame:
@@ -233,7 +233,7 @@ def keep_clean(docs: DataFrame, m: Model) -> DataFrame:
             bad = [m.score(r)[1] >= m.least for r in runs(b["text"])]
             yield b.filter(pa.array(~np.concatenate(bad))) if bad else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

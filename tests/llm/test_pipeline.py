@@ -90,3 +90,41 @@ def test_rows_without_id_are_judged_by_their_own_text(spark, sf):  # noqa: F811
     assert len(got([row(4, near(1)), row(4, near(2))])) == 1
     assert got([row(None, None), row(None, ""), row(2, " ")]) == want((None, None), (None, ""), (2, " "))
     assert got([row(None, near(3))] * 5 + [row(None, "")] * 3) == want((None, near(3)), (None, ""), (None, ""), (None, ""))
+
+
+HELD = """
+import ctypes, random, re
+import pyarrow as pa
+from lodeframe.llm import packing
+
+class Docs:
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, work, schema):
+        return work
+
+r = random.Random(5)
+words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(60_000)]
+texts = [" ".join(r.choices(words, k=200)) for _ in range(6000)]
+batches = (pa.record_batch([pa.array(range(i, i + 2000)), pa.array(texts[i : i + 2000])], names=["doc_id", "text"]) for i in range(0, 6000, 2000))
+packing.F.col = lambda name: packing.F  # no session here
+packing.F.cast = packing.F.alias = lambda *a: packing.F
+assert sum(b.num_rows for b in packing.pieces(Docs())(batches)) >= 6000
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+before = held()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL("libc.so.6").malloc_trim(0)
+print(before - held())
+"""
+
+
+def test_a_worker_that_has_cut_pieces_holds_no_free_memory():
+    import subprocess
+    import sys
+
+    import pytest
+
+    if not sys.platform.startswith("linux"):
+        pytest.skip("reads /proc")
+    got = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, timeout=120)
+    assert float(got.stdout.split()[-1]) < 25
