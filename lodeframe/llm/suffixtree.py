@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import discard, spread, stored, swept, table
 from .keyed import U64, pack, pack_small, ranges, unpack, unpack_small
 from .suffixes import _state, starts
-from .textbatch import LOWER, Run, mix, per_text, runs
+from .textbatch import LOWER, Run, lean, lean_cogroup, mix, per_text, runs
 
 #: A 64-bit key holds seven symbols beside the next one; the seventh would more than double what is exchanged.
 DEPTH = 6
@@ -411,7 +411,7 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     """Scores of every row of docs (doc_id, text); rows whose crc32(doc_id as text) mod 5 is not 1 are learnt from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = spread(docs)
-    state = stored(docs.mapInArrow(_pass(buckets), STATE_SQL), plain=True, by="kind")
+    state = stored(docs.mapInArrow(lean(_pass(buckets)), STATE_SQL), plain=True, by="kind")
     totals = state.filter("kind = 0").agg(F.sum("tokens").alias("t")).first()
     n = totals["t"] or 0
     asked = state.filter("kind = 1").select("bucket", "batch", "a", "b")
@@ -421,6 +421,7 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     vocabulary = answers.agg(F.sum("known")).first()[0] or 0
     contexts = state.filter("kind = 2").select("bucket", "batch", "a", "b")
     tree = built = stored(contexts.select("bucket", "a", "b").groupBy("bucket").applyInArrow(_contexts(buckets), TREE_SQL), plain=True)
+    swept(docs.sparkSession)
     first = tree.filter("bucket = 0").select("k", "n").first()  # SYMBOLS counts at most
     root = smoothed_root(unpack(first["k"]), unpack_small(first["n"])) if first else smoothed_root(np.zeros(0), np.zeros(0))
     tree = tree.filter("bucket > 0")
@@ -428,12 +429,16 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     states = stored(tree.groupBy("bucket").cogroup(suffixes.groupBy("bucket")).applyInArrow(_states, TREE_SQL), plain=True)
     discard(built)
     swept(docs.sparkSession)
-    found = contexts.select("bucket", "batch", "a").groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(_state_counts, "batch long, bucket int, n binary, total binary, distinct binary")
+    # stored, so that contexts and states are gone before texts are dealt out
+    found = stored(contexts.select("bucket", "batch", "a").groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(_state_counts, "batch long, bucket int, n binary, total binary, distinct binary"), plain=True)
+    discard(states)
+    discard(state, part="kind=2")
+    swept(docs.sparkSession)
     none = F.lit(None).cast("binary")
     answers = answers.select("batch", "bucket", "n", none.alias("total"), none.alias("distinct")).union(found)
     texts = state.filter("kind = 0").select((F.col("batch") + 0).alias("batch"), "a", "b", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scored(root, n, vocabulary, buckets), schema)
+    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lean_cogroup(_scored(root, n, vocabulary, buckets)), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

@@ -833,3 +833,18 @@ def test_ordinal_regression_on_held_out_rows(spark):
     rest = toxicity.scored(docs, toxicity.model(docs, even)).join(labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "label"), "doc_id")
     n = {(r.label, r.toxic): r["count"] for r in rest.groupBy("label", "toxic").count().collect()}
     assert n[1, True] / (n[1, True] + n[1, False]) > 0.8 and n[0, False] / (n[0, True] + n[0, False]) > 0.95
+
+
+def test_op4_spent_tables_are_gone_before_texts_are_scored(spark):
+    from pathlib import Path
+
+    from lodeframe.llm import suffixtree as S
+    from lodeframe.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("lode-*"))
+    out = S.tree_scores(spark.createDataFrame([(i, f"some words {i} of a text {i % 7}") for i in range(50)], "doc_id long, text string"))
+    new = set(folder.glob("lode-*")) - before
+    assert [sorted(x.name for x in p.glob("kind=*")) for p in new if list(p.glob("kind=*"))] == [["kind=0"]]
+    assert len(new) == 3  # texts, and the answers about words and about contexts
+    assert out.count() == 50
