@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import discard, spread, stored, swept, table
 from .keyed import U64, pack, pack_small, ranges, unpack, unpack_small
 from .suffixes import _state, starts
-from .textbatch import LOWER, Run, lean, lean_cogroup, mix, per_text, runs
+from .textbatch import LOWER, ROOMY, Run, lean, lean_cogroup, mix, per_text, runs
 
 #: A 64-bit key holds seven symbols beside the next one; the seventh would more than double what is exchanged.
 DEPTH = 6
@@ -86,10 +86,15 @@ def low(symbols: int) -> np.uint64:
     return U64((1 << 8 * symbols) - 1)
 
 
-def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    codes, u = pd.factorize(keys)
-    order = np.argsort(u)
-    return u[order], np.bincount(codes, weights, len(u)).astype(np.int64)[order]
+def counted(keys: np.ndarray, flag: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct packed keys, and how many of each are flagged (without flags: how many there are). A key leaves its
+    highest bit free, so that the flag is sorted as its last one."""
+    both = keys << U64(1)
+    both |= U64(1) if flag is None else flag
+    both.sort()
+    k = both >> U64(1)
+    first = heads(k)
+    return k[first], np.add.reduceat(both & U64(1), first).astype(np.int64) if len(k) else np.zeros(0, np.int64)
 
 
 def dealt(k: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -411,7 +416,7 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     """Scores of every row of docs (doc_id, text); rows whose crc32(doc_id as text) mod 5 is not 1 are learnt from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = spread(docs)
-    state = stored(docs.mapInArrow(lean(_pass(buckets)), STATE_SQL), plain=True, by="kind")
+    state = stored(docs.mapInArrow(lean(_pass(buckets), ROOMY), STATE_SQL), plain=True, by="kind")
     totals = state.filter("kind = 0").agg(F.sum("tokens").alias("t")).first()
     n = totals["t"] or 0
     asked = state.filter("kind = 1").select("bucket", "batch", "a", "b")
@@ -438,7 +443,7 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     answers = answers.select("batch", "bucket", "n", none.alias("total"), none.alias("distinct")).union(found)
     texts = state.filter("kind = 0").select((F.col("batch") + 0).alias("batch"), "a", "b", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lean_cogroup(_scored(root, n, vocabulary, buckets)), schema)
+    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lean_cogroup(_scored(root, n, vocabulary, buckets), ROOMY), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

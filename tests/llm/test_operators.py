@@ -848,3 +848,18 @@ def test_op4_spent_tables_are_gone_before_texts_are_scored(spark):
     assert [sorted(x.name for x in p.glob("kind=*")) for p in new if list(p.glob("kind=*"))] == [["kind=0"]]
     assert len(new) == 3  # texts, and the answers about words and about contexts
     assert out.count() == 50
+
+
+def test_op4_counts_a_batch_of_keys_by_one_sort():
+    from lodeframe.llm import suffixtree as S
+
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5000):
+        keys, flag = r.integers(0, 1 << 56, n, dtype=np.uint64) >> np.uint64(44), r.random(n) < 0.7
+        for mine in (flag, None):
+            k, got = S.counted(keys, mine)
+            want = collections.Counter(keys.tolist())
+            assert k.tolist() == sorted(want)
+            if mine is not None:
+                want = collections.Counter(keys[flag].tolist())
+            assert got.tolist() == [want[x] for x in k.tolist()] and got.dtype == np.int64
