@@ -373,9 +373,11 @@ def _scored(root: np.ndarray, n_tokens: int, vocabulary: int, buckets: int):
             count = np.concatenate([unpack_small(r["n"]) for r in got])
             log = np.log10(count + 0.5)
             end = int(np.searchsorted(u, END_KEY))
-            codes, uniq = pd.factorize(np.concatenate([t.keys for t in tokens]))  # all places at once: one hash table, one sort
+            keys = np.concatenate([t.keys for t in tokens])
             for t in tokens:
                 del t.keys
+            codes, uniq = pd.factorize(keys)  # all places at once: one hash table, one sort
+            del keys
             order, p = np.argsort(uniq), np.empty(len(uniq))
             p[order] = _log10(uniq[order], root, tree, buckets)
             at = begin = 0
@@ -443,7 +445,7 @@ def tree_scores(docs: DataFrame) -> DataFrame:
     answers = answers.select("batch", "bucket", "n", none.alias("total"), none.alias("distinct")).union(found)
     texts = state.filter("kind = 0").select((F.col("batch") + 0).alias("batch"), "a", "b", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lean_cogroup(_scored(root, n, vocabulary, buckets), ROOMY), schema)
+    out = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lean_cogroup(_scored(root, n, vocabulary, buckets)), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
