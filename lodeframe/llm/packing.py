@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prefix_sums, stored, table
-from .textbatch import Run, lean, runs
+from .textbatch import Run, lean, released, runs
 
 SIZE = 1024
 END_ID = 2
@@ -40,6 +40,8 @@ LARGE = (0.2, 0.36, 0.45)
 NEWLINE = 10
 #: New pieces that the tokenizer is given in one text.
 LINES = 100
+#: Bytes of texts that are cut at a time: working arrays take some 60 times as many.
+CUT_BYTES = 1 << 18
 #: Special tokens' strings, which the tokenizer reads as one id, look like this.
 SPECIAL = re.compile(rb"<\|")
 
@@ -177,9 +179,10 @@ def _pieces(path: str, size: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path)
+        released()  # what reading the tokenizer's file took
         for b in batches:
             ids_of = b["doc_id"].to_pylist()
-            for r in runs(b["text"]):
+            for r in runs(b["text"], CUT_BYTES):
                 flat, counts = enc.encode(r)
                 out: list[tuple] = []
                 at = 0
@@ -393,9 +396,10 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b[c] for c in b.schema.names if c != "rank"], pa.array(seq[at] + r - rank[at]), pa.array(offset[at])], names=[*[c for c in b.schema.names if c != "rank"], "sequence_id", "offset"])
 
     hashed = cut.withColumn("h", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece", "ids_crc32")))
-    # about as many ranges in a length as pieces in a range, since most pieces may have one length
-    digits = [(x, -(-int(n).bit_length() // 8)) for x, n in enumerate(histogram.tolist()) if n]
-    hashed = hashed.join(F.broadcast(cut.sparkSession.createDataFrame(digits, "length long, digits int")), "length")
+    # about as many ranges in a length as pieces in a range, since most pieces may have one length. A literal: a table of
+    # Python's rows would start a second set of Python workers on each executor, which stays for the next stages
+    digits = ", ".join(str(-(-n.bit_length() // 8)) for n in histogram[1:].tolist())
+    hashed = hashed.withColumn("digits", F.expr(f"element_at(array({digits}), cast(length AS INT))"))
     ranked = prefix_sums(hashed, ["length"], [F.col(c) for c in ("h", "doc_id", "piece", "start", "ids_crc32")], F.expr("substring(h, 1, digits)"), F.lit(1).cast("long"), "rank")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
     return ranked.select(*cut.columns, "rank").mapInArrow(lean(run), f"{fields}, sequence_id long, offset long")

@@ -128,3 +128,48 @@ def test_a_worker_that_has_cut_pieces_holds_no_free_memory():
         pytest.skip("reads /proc")
     got = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, timeout=120)
     assert float(got.stdout.split()[-1]) < 25
+
+
+def test_packing_starts_no_second_set_of_python_workers(spark, sf):  # noqa: F811
+    from lodeframe.llm import packing
+
+    out = stage(spark, "pack", ROWS, sf)
+    assert "ExistingRDD" not in out._jdf.queryExecution().toString()  # rows that Python made are read by workers of their own
+    cut = packing.stored(packing.pieces(docs(spark, ROWS)))
+    got = packing.place(cut).collect()
+    assert bag((r.doc_id, r.piece, r.length) for r in got) == bag((r.doc_id, r.piece, r.length) for r in cut.collect())
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
+def test_a_function_that_has_ended_leaves_no_table_of_powers():
+    import pyarrow as pa
+    from lodeframe.llm import textbatch
+
+    def work(batches):
+        for b in batches:
+            for r in textbatch.runs(b["text"]):
+                r.hashes(*r.words()[:2])
+            assert textbatch._powers
+            yield b
+
+    assert len(list(textbatch.lean(work)(iter([pa.record_batch([pa.array(["a b c", None])], names=["text"])])))) == 1
+    assert not textbatch._powers
+
+
+def test_cutting_pieces_takes_little_memory_at_a_time():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    from lodeframe.llm import packing
+
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(3000)]
+    texts = [" ".join(r.choices(words, k=200)) for _ in range(2500)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    work = packing._pieces(packing.tokenizer_path(), packing.SIZE, packing.END_ID)
+    tracemalloc.start()
+    got = sum(b.num_rows for b in work(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got >= len(texts) and peak < 25e6
